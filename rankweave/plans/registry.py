@@ -1,13 +1,633 @@
-"""Queries over the operators, with their SQL."""
+"""One query per operator, with the SQL that DuckDB can check it by.
 
+Every query runs over its whole tables. Where a limit stands, it is the top k of a search.
+"""
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import ann, chunking, evaluate, lexicon, lifecycle, routing, search
+from ..sources import html, relational
+from ..streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs_of(spark, d) -> DataFrame:
+    return table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+
+
+def vectors_of(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def corpus_of(spark, d) -> DataFrame:
+    return docs_of(spark, d).join(vectors_of(spark, d), "id")
+
+
+def query_vector(spark, d) -> list[float]:
+    return list(table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+TERMS = ("the", "of", "thand")
+TEXT = " ".join(TERMS)
+SQL_TOKENS = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{Nd}}]+'), lambda t: t <> '')"
+SQL_BM25 = f"""
+toks AS (SELECT *, {SQL_TOKENS.format("text")} AS tk FROM documents),
+tf AS (SELECT * EXCLUDE (tk), len(tk) AS dl, {", ".join(f"len(list_filter(tk, lambda t: t = '{w}'))::DOUBLE AS f{i}" for i, w in enumerate(TERMS))} FROM toks),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(TERMS)))} FROM tf),
+bm AS (SELECT tf.*, round({" + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(TERMS)))}, 6) AS bm25 FROM tf, st)"""
+SQL_Q = "q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0)"
+SQL_COS = "round(list_cosine_similarity(embedding::DOUBLE[], qv), 6)"
+SQL_CAND = f"WITH {SQL_BM25.strip().replace('FROM documents)', 'FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))')}, {SQL_Q}, cand AS (SELECT doc_id AS id, lang, source, text, bm25, {SQL_COS} AS cosine FROM bm JOIN embeddings ON doc_id = vec_id, q)"
+SQL_RANKED = """ranked AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, id) AS lex_rank, row_number() OVER (ORDER BY cosine DESC, id) AS sem_rank FROM cand {where}),
+fused AS (SELECT *, round(1.0::DOUBLE / (60 + lex_rank) + 1.0::DOUBLE / (60 + sem_rank), 9) AS fused FROM ranked)"""
+
+
+# Text and lexical search
+
+
+@query(f"""WITH t AS (SELECT lang, unnest({SQL_TOKENS.format("text")}) AS term FROM documents)
+SELECT lang, count(*) AS n_tokens, count(DISTINCT term) AS n_distinct FROM t GROUP BY lang""")
+def tokenize_stats(spark, d):
+    return docs_of(spark, d).select("lang", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("lang").agg(F.count("term").alias("n_tokens"), F.countDistinct("term").alias("n_distinct"))
+
+
+@query(f"WITH {SQL_BM25.strip()} SELECT doc_id AS id, bm25 FROM bm WHERE bm25 > 0 ORDER BY bm25 DESC, doc_id LIMIT 50")
+def bm25_topk(spark, d):
+    return search.text_search(docs_of(spark, d), TEXT, k=50).select("id", "bm25")
+
+
+@query(f"WITH {SQL_BM25.strip()} SELECT doc_id AS id, source, bm25 FROM bm WHERE lang = 'fr' ORDER BY bm25 DESC, doc_id LIMIT 20 OFFSET 5")
+def filtered_search(spark, d):
+    return search.text_search(docs_of(spark, d), TEXT, {"lang": "fr"}, 20, 5).select("id", "source", "bm25")
+
+
+@query("SELECT doc_id AS id, lang, source FROM documents")
+def match_all(spark, d):
+    return docs_of(spark, d).select("id", "lang", "source")
+
+
+@query("SELECT doc_id AS id, lang, n_chars FROM documents WHERE doc_id IN (SELECT item_id * 3 FROM benchmark)")
+def point_lookup(spark, d):
+    ids = table(spark, d, "benchmark").select((F.col("item_id") * 3).alias("id"))
+    return docs_of(spark, d).join(ids, "id", "left_semi").select("id", "lang", "n_chars")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE lang = 'de' AND source = 'src3'")
+def filtered_ids(spark, d):
+    return search.filtered(docs_of(spark, d), {"lang": "de", "source": "src3"}).select("id")
+
+
+@query("SELECT doc_id AS id, lang FROM documents WHERE source = 'src1' AND lang = 'en'")
+def tenant_scope(spark, d):
+    scoped = search.tenant_scoped(docs_of(spark, d), "src1", "source")
+    return search.filtered(scoped, {"lang": "en"}).select("id", "lang")
+
+
+@query("SELECT doc_id AS id, lang FROM documents WHERE lang = 'es' AND source = 'src2'")
+def alias_merge(spark, d):
+    return search.filtered(docs_of(spark, d), lifecycle.alias_filters({"lang": "en", "source": "src2"}, {"lang": "es"})).select("id", "lang")
+
+
+@query("""SELECT field, value, count(*) AS n FROM (SELECT 'lang' AS field, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) WHERE value <> '' GROUP BY ALL""")
+def facet_counts(spark, d):
+    return lexicon.facets(docs_of(spark, d), ["lang", "source"])
+
+
+@query(f"WITH {SQL_BM25.strip()}, top AS (SELECT * FROM bm WHERE bm25 > 0 ORDER BY bm25 DESC, doc_id LIMIT 100) SELECT 'source' AS field, source AS value, count(*) AS n FROM top WHERE source <> '' GROUP BY source")
+def facet_of_results(spark, d):
+    ids = search.text_search(docs_of(spark, d), TEXT, k=100).select("id")
+    return lexicon.facets(docs_of(spark, d).join(ids, "id", "left_semi"), ["source"])
+
+
+SQL_SUGGEST = f"""WITH src AS (SELECT p_brand AS tenant, {SQL_TOKENS.format("p_name")} AS ti, {SQL_TOKENS.format("p_type")} AS bo FROM part),
+terms AS (
+  SELECT tenant, unnest(ti) AS term, 10 AS w FROM src UNION ALL SELECT tenant, unnest(bo), 1 FROM src
+  UNION ALL SELECT tenant, unnest(list_transform(range(1, len(ti)), lambda i: ti[i] || ' ' || ti[i + 1])), 5 FROM src),
+dict AS (SELECT tenant, term, sum(w)::BIGINT AS weight FROM terms WHERE w = 5 OR (w = 10 AND strlen(term) >= 2) OR (w = 1 AND strlen(term) >= 3) GROUP BY ALL)"""
+
+
+def _suggest_docs(spark, d):
+    return table(spark, d, "part").select(F.col("p_brand").alias("tenant"), F.col("p_name").alias("title"), F.col("p_type").alias("text"))
+
+
+@query(SQL_SUGGEST + " SELECT * FROM dict")
+def suggest_dictionary(spark, d):
+    return lexicon.suggest_dictionary(_suggest_docs(spark, d))
+
+
+@query(SQL_SUGGEST + " SELECT term, sum(weight)::BIGINT AS weight FROM dict WHERE starts_with(term, 's') GROUP BY term ORDER BY 2 DESC, 1 LIMIT 10")
+def suggest_prefix(spark, d):
+    return lexicon.suggest(lexicon.suggest_dictionary(_suggest_docs(spark, d)), "S")
+
+
+SQL_SPELL = f"dict AS (SELECT term, count(*) AS freq FROM (SELECT unnest({SQL_TOKENS.format('text')}) AS term FROM documents) WHERE strlen(term) >= 2 GROUP BY term)"
+WORDS = ("teh", "thoand", "zzzzqqqq", "the", "réeau")
+
+
+@query(f"WITH {SQL_SPELL} SELECT * FROM dict")
+def spell_dictionary(spark, d):
+    return lexicon.spell_dictionary(docs_of(spark, d))
+
+
+@query(f"""WITH {SQL_SPELL}, w AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{w}')" for i, w in enumerate(WORDS))}) t(pos, word)),
+near AS (SELECT pos, word, term, row_number() OVER (PARTITION BY pos ORDER BY levenshtein(word, term), freq DESC, term) AS rn FROM w, dict WHERE abs(strlen(word) - strlen(term)) <= 2 AND levenshtein(word, term) <= 2)
+SELECT w.pos::BIGINT AS pos, w.word, coalesce(term, '') AS correction FROM w LEFT JOIN near n ON n.pos = w.pos AND rn = 1""")
+def spell_suggest(spark, d):
+    words = spark.range(1).select(F.posexplode(F.array(*[F.lit(w) for w in WORDS])).alias("pos", "word")).withColumn("pos", F.col("pos").cast("long"))
+    return lexicon.spell_candidates(words, lexicon.spell_dictionary(docs_of(spark, d)))
+
+
+@query()
+def highlight(spark, d):
+    return docs_of(spark, d).select("id", F.posexplode(T.highlight(F.col("text"), TEXT)).alias("fragment", "text"))
+
+
+# Vectors
+
+
+def _knn(metric: str, order: str, expression: str):
+    @query(f"WITH {SQL_Q} SELECT vec_id AS id, round({expression}, 6) AS score FROM embeddings, q ORDER BY 2 {order}, 1 LIMIT 10")
+    def run(spark, d):
+        return search.knn(vectors_of(spark, d), query_vector(spark, d), 10, metric).select("id", "score")
+
+    run.__name__ = f"{metric}_knn"
+    QUERIES[run.__name__], SQL[run.__name__] = QUERIES.pop("run"), SQL.pop("run")
+
+
+_knn("cosine", "DESC", "list_cosine_similarity(embedding::DOUBLE[], qv)")
+_knn("dot", "DESC", "list_dot_product(embedding::DOUBLE[], qv)")
+_knn("l2", "ASC", "list_distance(embedding::DOUBLE[], qv) ** 2")
+
+
+@query("SELECT vec_id AS id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS norm_squared, label FROM embeddings")
+def vector_norms(spark, d):
+    return vectors_of(spark, d).select("id", F.round(V.norm_squared(F.col("vector")), 6).alias("norm_squared"), "label")
+
+
+@query("""WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+q AS (SELECT *, least(greatest(round((x + 1) * 255 / 2) - 128, -128), 127)::BIGINT AS code FROM c)
+SELECT vec_id AS id, sum(code)::BIGINT AS code_sum, sum(code * i)::BIGINT AS weighted, round(max(abs((code + 128) * 2.0::DOUBLE / 255 - 1 - greatest(least(x, 1), -1))), 6) AS worst FROM q GROUP BY vec_id""")
+def scalar_quantize(spark, d):
+    q = vectors_of(spark, d).withColumn("q", V.scalar_quantize(F.col("vector"), -1.0, 1.0))
+    q = q.withColumn("back", V.scalar_dequantize(F.col("q"), -1.0, 1.0))
+    clipped = lambda x: F.greatest(F.least(x.cast("double"), F.lit(1.0)), F.lit(-1.0))
+    worst = F.array_max(F.zip_with("back", "vector", lambda a, b: F.abs(a - clipped(b))))
+    total = F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x)
+    weighted = F.aggregate(F.transform("q", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return q.select("id", total.alias("code_sum"), weighted.alias("weighted"), F.round(worst, 6).alias("worst"))
+
+
+SQL_HAMMING = """h AS (SELECT vec_id, embedding, qv, len(list_filter(range(1, 65), lambda i: (embedding[i] > 0) <> (qv[i] > 0))) AS hamming FROM embeddings, q)"""
+
+
+@query(f"WITH {SQL_Q}, {SQL_HAMMING} SELECT vec_id AS id, hamming::INT AS hamming FROM h")
+def binary_hamming(spark, d):
+    q = V.binary_quantize(V.literal(query_vector(spark, d)), 64)
+    return vectors_of(spark, d).select("id", V.hamming(V.binary_quantize(F.col("vector"), 64), q).alias("hamming"))
+
+
+@query(f"WITH {SQL_Q}, {SQL_HAMMING}, c AS (SELECT * FROM h ORDER BY hamming, vec_id LIMIT 50) SELECT vec_id AS id, hamming::INT AS hamming, {SQL_COS} AS score FROM c ORDER BY 3 DESC, 1 LIMIT 10")
+def bbq_search(spark, d):
+    return ann.bbq_search(vectors_of(spark, d), query_vector(spark, d), 10)
+
+
+RATE, PROBES = 50, 5
+SQL_ROUTE = f"""cen AS (SELECT vec_id AS cid, embedding::DOUBLE[] AS cv FROM embeddings WHERE vec_id % {RATE} = 0),
+dist AS (SELECT vec_id, cid, round(1 - list_cosine_similarity(embedding::DOUBLE[], cv), 6) AS dd FROM embeddings, cen WHERE vec_id % {RATE} <> 0),
+routed AS (SELECT vec_id AS id, cid AS centroid_id, false AS is_centroid FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dd, cid) AS rn FROM dist) WHERE rn = 1
+           UNION ALL SELECT cid, cid, true FROM cen)"""
+
+
+@query(f"WITH {SQL_ROUTE} SELECT * FROM routed")
+def centroid_route(spark, d):
+    return ann.route(vectors_of(spark, d), RATE)
+
+
+@query(f"""WITH {SQL_Q}, {SQL_ROUTE}, probes AS (SELECT cid FROM cen, q ORDER BY round(1 - list_cosine_similarity(cv, qv), 6), cid LIMIT {PROBES})
+SELECT id, centroid_id, {SQL_COS} AS score FROM routed JOIN embeddings ON vec_id = id, q WHERE centroid_id IN (SELECT cid FROM probes) ORDER BY 3 DESC, 1 LIMIT 10""")
+def ivf_search(spark, d):
+    v = vectors_of(spark, d)
+    return ann.ivf_search(v, ann.route(v, RATE), query_vector(spark, d), 10, PROBES)
+
+
+def _centers(spark, d):
+    import numpy as np
+
+    rows = vectors_of(spark, d).where(f"id % {RATE} = 0 AND id < {8 * RATE}").orderBy("id").collect()  # 8 rows: given centers
+    return np.array([r["vector"] for r in rows])
+
+
+SQL_ASSIGN = f"""cen AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, embedding::DOUBLE[] AS cv FROM embeddings WHERE vec_id % {RATE} = 0 AND vec_id < {8 * RATE}),
+a AS (SELECT vec_id, c, round(list_distance(embedding::DOUBLE[], cv) ** 2, 6) AS dd FROM embeddings, cen),
+own AS (SELECT vec_id AS id, c AS cluster, dd AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dd, c) AS rn FROM a) WHERE rn = 1)"""
+
+
+@query(f"WITH {SQL_ASSIGN} SELECT id, cluster::INT AS cluster, distance FROM own")
+def kmeans_assign(spark, d):
+    return ann.assign(vectors_of(spark, d), _centers(spark, d))
+
+
+@query(f"WITH {SQL_ASSIGN} SELECT cluster::INT AS cluster, count(*) AS n, round(sum(distance), 4) AS inertia, round(avg(embedding[1]::DOUBLE), 6) AS m0 FROM own JOIN embeddings ON vec_id = id GROUP BY cluster")
+def kmeans_step(spark, d):
+    step = ann.lloyd(vectors_of(spark, d), _centers(spark, d))
+    return step.select("cluster", "n", F.round("inertia", 4).alias("inertia"), F.round("m0", 6).alias("m0"))
+
+
+@query()
+def pq_search(spark, d):
+    v = vectors_of(spark, d)
+    pq = ann.ProductQuantizer.train(v, 64, 8, 16)
+    return pq.search(v.select("id", pq.encode(F.col("vector")).alias("codes")), query_vector(spark, d), 10).select("id", "distance")
+
+
+# Hybrid search and fusion
+
+
+@query(f"{SQL_CAND}, {SQL_RANKED.format(where="WHERE lang = 'en'")} SELECT id, bm25, cosine, lex_rank, sem_rank, fused FROM fused ORDER BY fused DESC, id LIMIT 10")
+def hybrid_rrf(spark, d):
+    return search.hybrid_search(corpus_of(spark, d), TEXT, query_vector(spark, d), {"lang": "en"}, 10)
+
+
+@query(f"{SQL_CAND}, {SQL_RANKED.format(where='')}, top AS (SELECT * FROM fused ORDER BY fused DESC, id LIMIT 10) SELECT id, fused FROM top ORDER BY fused DESC, id LIMIT 4 OFFSET 3")
+def hybrid_page(spark, d):
+    top = search.hybrid_search(corpus_of(spark, d), TEXT, query_vector(spark, d), None, search.clamp_k(0))
+    return search.page(top, 3, 4).select("id", "fused")
+
+
+@query(f"""{SQL_CAND}, {SQL_RANKED.format(where='')}, top AS (SELECT *, row_number() OVER (ORDER BY fused DESC, id) AS rn FROM fused ORDER BY fused DESC, id LIMIT 5)
+SELECT string_agg('[' || rn || '] ' || text, E'\\n\\n' ORDER BY rn) AS context, count(*) AS n_citations FROM top""")
+def rag_context(spark, d):
+    corpus = corpus_of(spark, d)
+    return search.rag(corpus, search.hybrid_search(corpus, TEXT, query_vector(spark, d), None, search.clamp_k(0, 5, None)))[1]
+
+
+SQL_PARTED = """p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bm25 DESC, id) AS lr, row_number() OVER (PARTITION BY source ORDER BY cosine DESC, id) AS sr FROM cand),
+f AS (SELECT *, round(1.0::DOUBLE / (60 + lr) + 1.0::DOUBLE / (60 + sr), 9) AS fused FROM p),
+t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY fused DESC, id) AS rk FROM f)"""
+
+
+@query(f"{SQL_CAND}, {SQL_PARTED}, m AS (SELECT id, source, row_number() OVER (ORDER BY fused DESC, source, id) AS position FROM t WHERE rk <= 10) SELECT id, source, position, round(1.0::DOUBLE / (60 + position), 9) AS score FROM m WHERE position <= 10")
+def collection_rrf(spark, d):
+    return search.collection_search(corpus_of(spark, d), TEXT, query_vector(spark, d), 10, "source")
+
+
+@query(f"""{SQL_CAND}, {SQL_PARTED}, l AS (SELECT id % 100 AS id, source, rk, bm25 FROM t WHERE rk <= 10)
+SELECT id, round(sum(1.0::DOUBLE / (60 + rk)), 9) AS fused, max(bm25) AS bm25 FROM l GROUP BY id ORDER BY 2 DESC, 1 LIMIT 10""")
+def shard_merge_rrf(spark, d):
+    scored = search.candidates(corpus_of(spark, d), TEXT, query_vector(spark, d)).select("id", "source", "bm25", "cosine")
+    lists = search.rrf(scored, 10, ["source"]).select((F.col("id") % 100).alias("id"), F.col("source").alias("shard_id"), F.col("position").alias("rank"), "bm25")
+    return search.shard_merge(lists, 10)
+
+
+# Evaluation
+
+
+SQL_JUDGED = """j AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, quality = 1 AS relevant, quality + toxic AS grade FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, sum(relevant::INT) OVER (PARTITION BY query_id ORDER BY rank) AS hits, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rank) AS ideal FROM j),
+m AS (SELECT query_id, sum(relevant::INT) FILTER (rank <= 10) AS found, sum(relevant::INT) AS al, least(10, max(n)) AS cut, min(rank) FILTER (relevant) AS fi,
+  sum((2.0 ** grade - 1) / log2(rank + 1)) FILTER (rank <= 10) AS dcg, sum((2.0 ** grade - 1) / log2(ideal + 1)) FILTER (ideal <= 10) AS idcg, coalesce(sum(hits / rank) FILTER (relevant), 0) AS pr FROM r GROUP BY query_id),
+e AS (SELECT query_id, round(coalesce(found / nullif(al, 0), 0)::DOUBLE, 6) AS recall, round((found / cut)::DOUBLE, 6) AS precision, round(coalesce(1 / fi, 0)::DOUBLE, 6) AS mrr, round(coalesce(dcg / nullif(idcg, 0), 0)::DOUBLE, 6) AS ndcg, round(coalesce(pr / nullif(al, 0), 0)::DOUBLE, 6) AS ap FROM m)"""
+
+
+def _judged(spark, d):
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))
+    return rows.select(F.col("source").alias("query_id"), rank.alias("rank"), (F.col("quality") == 1).alias("relevant"), (F.col("quality") + F.col("toxic")).alias("grade"))
+
+
+@query(f"WITH {SQL_JUDGED} SELECT * FROM e")
+def retrieval_metrics(spark, d):
+    return evaluate.metrics(_judged(spark, d))
+
+
+@query(f"WITH {SQL_JUDGED} SELECT round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(ap), 6) AS map, count(*) AS queries FROM e")
+def retrieval_report(spark, d):
+    return evaluate.report(evaluate.metrics(_judged(spark, d)))
+
+
+# Routing and catalog
+
+
+NODES = ("node-a", "node-b", "node-c")
+VNODES = 32
+SQL_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({}, ''), lambda c: unicode(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
+SQL_RING = f"""pts AS (SELECT h, min(node) AS node FROM (SELECT n AS node, {SQL_FNV.format("n || '#' || v")} AS h FROM (SELECT unnest([{", ".join(f"'{n}'" for n in NODES)}]) AS n), (SELECT unnest(range(0, {VNODES})) AS v)) GROUP BY h),
+keys AS (SELECT doc_id AS id, {SQL_FNV.format("doc_id::VARCHAR")} AS key_hash FROM documents),
+own AS (SELECT k.id, k.key_hash, coalesce(p.node, (SELECT arg_min(node, h) FROM pts)) AS node FROM keys k ASOF LEFT JOIN pts p ON k.key_hash <= p.h)"""
+
+
+def _routed(spark, d):
+    keys = docs_of(spark, d).select("id").withColumn("k", F.col("id").cast("string"))
+    return routing.assign(keys, "k", routing.ring(spark, NODES, VNODES)).drop("k")
+
+
+@query(f"WITH {SQL_RING} SELECT * FROM own")
+def hash_ring_route(spark, d):
+    return _routed(spark, d)
+
+
+@query(f"WITH {SQL_RING} SELECT node, count(*) AS n FROM own GROUP BY node")
+def shard_counts(spark, d):
+    return _routed(spark, d).groupBy("node").agg(F.count("id").alias("n"))
+
+
+@query("SELECT source AS collection, count(*) AS n_docs, count(DISTINCT lang) AS n_langs, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
+def collection_stats(spark, d):
+    return docs_of(spark, d).groupBy(F.col("source").alias("collection")).agg(F.count("id").alias("n_docs"), F.countDistinct("lang").alias("n_langs"), F.sum("n_chars").alias("chars"))
+
+
+@query(f"SELECT count(*) AS nodes, count(*) FILTER (vec_id % {RATE} = 0) AS centroids, count(*) FILTER (vec_id % {RATE} <> 0) AS leaves, sum(len(embedding) * 4)::BIGINT AS vector_bytes FROM embeddings")
+def index_stats(spark, d):
+    v = vectors_of(spark, d)
+    return v.agg(F.count("id").alias("nodes"), F.count_if(F.col("id") % RATE == 0).alias("centroids"), F.count_if(F.col("id") % RATE != 0).alias("leaves"), F.sum(F.size("vector").cast("long") * 4).alias("vector_bytes"))
+
+
+@query("""SELECT event_type AS kind, user_id::VARCHAR AS key, value, event_id AS version FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND value >= 1""")
+def command_replay(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("version"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("key"), "value", (F.col("value") < 1).alias("deleted"))
+    return lifecycle.replay(e)
+
+
+# Lifecycle
+
+
+@query("SELECT doc_id AS id, lang FROM documents WHERE NOT (lang IS NOT DISTINCT FROM 'fr' AND source IS NOT DISTINCT FROM 'src1')")
+def delete_by_filter(spark, d):
+    return lifecycle.delete_where(docs_of(spark, d), {"lang": "fr", "source": "src1"}).select("id", "lang")
+
+
+@query("SELECT doc_id AS id, lang FROM documents WHERE NOT (lang = 'en' AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))")
+def delete_by_ids(spark, d):
+    ids = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return lifecycle.delete_ids(docs_of(spark, d), ids, {"lang": "en"}).select("id", "lang")
+
+
+@query("SELECT doc_id AS id, 'old' AS state FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label < 5) UNION ALL SELECT vec_id, 'new' FROM embeddings WHERE label < 5")
+def upsert_latest(spark, d):
+    new = vectors_of(spark, d).where("label < 5").select("id", F.lit("new").alias("state"))
+    return lifecycle.upsert(docs_of(spark, d).select("id", F.lit("old").alias("state")), new)
+
+
+@query("""WITH c AS (SELECT user_id AS id, event_type AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, value FROM events)
+SELECT doc_id AS id, 'old' AS state FROM documents WHERE doc_id NOT IN (SELECT id FROM c) UNION ALL SELECT id, state FROM c WHERE rn = 1 AND value >= 5""")
+def change_feed(spark, d):
+    e = table(spark, d, "events")
+    action = F.when(F.col("value") >= 5, "upsert").otherwise("delete")
+    changes = e.select(F.col("user_id").alias("id"), F.col("event_type").alias("state"), F.struct("ts", "event_id").alias("emitted_at"), action.alias("action"))
+    return lifecycle.apply_changes(docs_of(spark, d).select("id", F.lit("old").alias("state")), changes)
+
+
+@query("""WITH old AS (SELECT page_id AS id, regexp_replace(url, '[?#].*$', '') AS url FROM pages), new AS (SELECT page_id + 1000000 AS id, regexp_replace(url, '[?#].*$', '') AS url FROM pages WHERE page_id % 3 = 0)
+SELECT * FROM old WHERE url NOT IN (SELECT url FROM new) UNION ALL SELECT * FROM new""")
+def replace_by_url(spark, d):
+    p = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    return lifecycle.replace_by_url(p, p.where("id % 3 = 0").select((F.col("id") + 1000000).alias("id"), "url"))
+
+
+@query("""WITH e AS (SELECT event_id, epoch(ts)::BIGINT AS t, CASE event_id % 4 WHEN 0 THEN 432000.0 WHEN 1 THEN 5400.0 WHEN 2 THEN NULL ELSE NULL END AS ttl FROM events)
+SELECT event_id AS id FROM e WHERE NOT (coalesce(1706659200 > t + ttl, false) OR 1706659200 > t + 1728000)""")
+def ttl_sweep(spark, d):
+    ttl = F.element_at(F.array(F.lit("120h"), F.lit("1h30m"), F.lit(None).cast("string"), F.lit("soon")), (F.col("event_id") % 4 + 1).cast("int"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ingested_at"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("crawled_at"), ttl.alias("ttl"))
+    return lifecycle.sweep(e, F.lit(1706659200), 20 * 86400.0).select("id")
+
+
+# Parsing and chunking
+
+
+@query(f"SELECT page_id, {SQL_FNV.format("url || '#0'")} AS chunk_id FROM pages")
+def fnv_chunk_id(spark, d):
+    return table(spark, d, "pages").select("page_id", T.chunk_id(F.col("url"), F.lit(0)).alias("chunk_id"))
+
+
+@query("""WITH s AS (SELECT c.conv_id AS doc, c.turn AS pos, c.text AS sentence, e.embedding::DOUBLE[] AS v FROM conversations c JOIN embeddings e ON e.vec_id = (c.conv_id * 7 + c.turn) % 500),
+k AS (SELECT *, round(list_cosine_similarity(v, lag(v) OVER (PARTITION BY doc ORDER BY pos)), 6) AS cos FROM s),
+g AS (SELECT *, sum(CASE WHEN cos < 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chunk FROM k)
+SELECT doc, chunk::BIGINT AS chunk, string_agg(sentence, ' ' ORDER BY pos) AS text, count(*) AS n FROM g GROUP BY doc, chunk""")
+def semantic_chunk(spark, d):
+    c = table(spark, d, "conversations").withColumn("vec", (F.col("conv_id") * 7 + F.col("turn")) % 500)
+    rows = c.join(vectors_of(spark, d).withColumnRenamed("id", "vec"), "vec").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.col("text").alias("sentence"), "vector")
+    return chunking.semantic_chunks(rows, 0.1)
+
+
+@query(r"""WITH w AS (SELECT doc_id AS doc, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents)
+SELECT doc, (i // 200)::INT AS chunk, array_to_string(list_slice(ws, i + 1, i + 200), ' ') AS text FROM (SELECT *, unnest(range(0, len(ws), 200)) AS i FROM w)""")
+def fixed_chunk(spark, d):
+    return chunking.fixed_chunks(docs_of(spark, d).select(F.col("id").alias("doc"), "text"), 200)
+
+
+@query()
+def sentence_split(spark, d):
+    return docs_of(spark, d).select("id", F.posexplode(chunking.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query(f"SELECT page_id, {SQL_FNV.format("url || '#' || (page_id % 3)")} AS id, url AS meta_url, (page_id % 3)::VARCHAR AS meta_idx, 'web' AS kind FROM pages")
+def chunk_metadata(spark, d):
+    p = table(spark, d, "pages").withColumn("chunk_idx", F.col("page_id") % 3).withColumn("metadata", F.create_map(F.lit("kind"), F.lit("web"), F.lit("url"), F.lit("stale")))
+    return chunking.with_chunk_columns(p).select("page_id", "id", F.col("metadata")["url"].alias("meta_url"), F.col("metadata")["chunk_idx"].alias("meta_idx"), F.col("metadata")["kind"].alias("kind"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'en: ' || trim(text) ELSE trim(text) END AS text FROM documents")
+def hook_chain(spark, d):
+    hooks = [F.trim, lambda t: F.when(F.col("lang") == "en", F.concat(F.lit("en: "), t))]
+    return docs_of(spark, d).select("id", chunking.apply_hooks(F.col("text"), hooks).alias("text"))
+
+
+@query()
+def html_markdown(spark, d):
+    return table(spark, d, "pages").select("page_id", html.markdown(F.col("html")).alias("markdown"))
+
+
+@query()
+def outlinks(spark, d):
+    return table(spark, d, "pages").select("page_id", F.posexplode(html.outlinks(F.col("html"), F.col("url"))).alias("pos", "link"))
+
+
+@query()
+def mime_route(spark, d):
+    p = table(spark, d, "pages").withColumn("mime", F.when(F.col("page_id") % 2 == 0, "text/html; charset=utf-8").otherwise("text/plain"))
+    return p.select("page_id", html.route_by_mime(F.col("mime"), F.col("html")).alias("text"))
+
+
+# URLs
+
+
+SQL_HOST = "nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '')"
+
+
+@query(f"SELECT page_id, {SQL_HOST} AS host FROM pages WHERE coalesce({SQL_HOST} NOT LIKE 'spam%' AND {SQL_HOST} LIKE '%.example.com', false)")
+def domain_filter(spark, d):
+    hosts = table(spark, d, "pages").select("page_id", T.url_host(F.col("url")).alias("host"))
+    blocked, allowed = hosts.where("host LIKE 'spam%'").select("host").distinct(), hosts.where("host LIKE '%.example.com'").select("host").distinct()
+    return hosts.where("host IS NOT NULL").join(blocked, "host", "left_anti").join(allowed, "host", "left_semi").select("page_id", "host")
+
+
+# Address ranges that no crawl may reach.
+CIDRS = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
+
+
+def blocked_address(ip):
+    """Whether a dotted IPv4 address (or one mapped into IPv6) lies in a blocked range; what is no address is blocked."""
+    import ipaddress
+
+    parts = F.split(F.regexp_replace(ip, "(?i)^::ffff:", ""), r"\.")
+    number = sum((F.get(parts, F.lit(i)).try_cast("long") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0).cast("long"))
+    nets = [ipaddress.ip_network(c) for c in CIDRS]
+    inside = F.lit(False)
+    for n in nets:
+        inside = inside | number.between(int(n.network_address), int(n.broadcast_address))
+    return F.coalesce(inside, F.lit(True)) | (F.size(parts) != 4)
+
+
+def _sql_blocked(number: str) -> str:
+    import ipaddress
+
+    return " OR ".join(f"{number} BETWEEN {int(n.network_address)} AND {int(n.broadcast_address)}" for n in map(ipaddress.ip_network, CIDRS))
+
+
+@query(f"SELECT event_id, {_sql_blocked('((event_id * 2654435761) & 4294967295)')} AS blocked FROM events")
+def ssrf_guard(spark, d):
+    n = (F.col("event_id") * 2654435761).bitwiseAND(F.lit(4294967295).cast("long"))
+    ip = F.concat_ws(".", *[F.shiftrightunsigned(n, s).bitwiseAND(F.lit(255).cast("long")).cast("string") for s in (24, 16, 8, 0)])
+    return table(spark, d, "events").select("event_id", blocked_address(ip).alias("blocked"))
+
+
+@query("SELECT regexp_replace(url, '[?#].*$', '') AS url, min(page_id) AS page_id FROM pages GROUP BY 1")
+def url_dedup(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    return ingest.first_by_key(p, "url", "page_id").select("url", "page_id")
+
+
+@query("""WITH u AS (SELECT regexp_replace(url, '[?#].*$', '') AS url, min(page_id) AS page_id FROM pages GROUP BY 1)
+SELECT * FROM u WHERE url NOT IN (SELECT regexp_replace(url, '[?#].*$', '') FROM pages WHERE page_id % 10 = 0) ORDER BY page_id, url LIMIT 100""")
+def crawl_frontier(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    return ingest.frontier(p, p.where("page_id % 10 = 0"), "page_id", 100).select("url", "page_id")
+
+
+# Sources
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, concat_ws(E'\\n\\n', nullif(o_orderstatus, ''), nullif(o_orderpriority, '')) AS content, 'https://shop.example.com/o/' || o_orderkey AS url, o_orderdate AS emitted_at FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01'""")
+def sql_source(spark, d):
+    return relational.records(table(spark, d, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority"], "o_orderdate", F.lit("1997-01-01").cast(dict(table(spark, d, "orders").dtypes)["o_orderdate"]), "https://shop.example.com/o/{id}")
+
+
+@query("SELECT max(o_orderkey)::VARCHAR AS cursor FROM orders")
+def max_cursor(spark, d):
+    return relational.last_cursor(table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("c")), "c", numeric=True)
+
+
+@query(r"""SELECT conv_id, string_agg(text, E'\n---\n' ORDER BY turn) AS content, count(*) AS turns FROM conversations GROUP BY conv_id""")
+def thread_assembly(spark, d):
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda p: p["text"])
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(parts, "\n---\n").alias("content"), F.count("turn").alias("turns"))
+
+
+@query("SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/html' WHEN 2 THEN 'text/markdown' ELSE 'application/octet-stream' END AS mime FROM documents")
+def mime_types(spark, d):
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".PDF", ".html", ".md", "")]), (F.col("id") % 4 + 1).cast("int"))
+    return docs_of(spark, d).select("id", relational.mime_of(F.concat(F.lit("s3://b/x"), ext)).alias("mime"))
+
+
+# Streaming forms in batch
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1 GROUP BY user_id")
+def idempotent_dedup(spark, d):
+    return ingest.first_by_key(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id")
+
+
+@query("""SELECT user_id, count(*) AS gaps, max(gap) AS longest FROM (SELECT user_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1e6, 3) AS gap FROM events) WHERE gap > 86400 GROUP BY user_id""")
+def heartbeat_gap(spark, d):
+    gaps = ingest.heartbeat_gaps(table(spark, d, "events"), "user_id", "ts", 86400.0)
+    return gaps.groupBy("user_id").agg(F.count("ts").alias("gaps"), F.max("gap_seconds").alias("longest"))
+
+
+@query()
+def rate_limit_window(spark, d):
+    return ingest.rate_limited_batch(table(spark, d, "events"), "event_type", "ts", 5, 3600.0, "event_id")
+
+
+@query("""SELECT CASE WHEN doc_id % 7 = 0 THEN 'undecodable' WHEN doc_id % 7 = 1 THEN 'empty' ELSE 'good' END AS state, CASE WHEN doc_id % 7 = 0 THEN '_default' WHEN doc_id % 2 = 0 THEN 'even' ELSE '_default' END AS collection_id, count(*) AS n FROM documents GROUP BY ALL""")
+def poison_split(spark, d):
+    body = F.to_json(F.struct(
+        F.concat(F.lit("u"), F.col("id")).alias("url"), F.when(F.col("id") % 7 != 1, "x").otherwise("").alias("content"),
+        F.when(F.col("id") % 2 == 0, F.create_map(F.lit("_collection_id"), F.lit("even"))).alias("metadata"),
+    ))
+    parsed = ingest.parse(docs_of(spark, d).select(F.when(F.col("id") % 7 == 0, "{broken").otherwise(body).alias("value")))
+    return parsed.groupBy(F.coalesce("error", F.lit("good")).alias("state"), "collection_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Scalars
+
+
+@query("""SELECT event_id, substr(sha256('4:acme' || (strlen(event_type) || ':' || event_type) || '4:lang2:en' || '4:user' || (strlen(user_id::VARCHAR) || ':' || user_id) || '2:10'), 1, 32) AS key FROM events""")
+def cache_keys(spark, d):
+    filters = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("lang"), F.lit("en"))
+    return table(spark, d, "events").select("event_id", T.cache_key(F.lit("acme"), F.col("event_type"), filters, F.lit(10)).alias("key"))
+
+
+@query("SELECT c_custkey AS id, '***' AS password, c_name AS host, '***' AS token FROM customer")
+def config_redaction(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.redact(F.create_map(F.lit("Password"), F.col("c_name"), F.lit("host"), F.col("c_name"), F.lit("token"), F.lit("t"))).alias("m"))
+    return c.select("id", F.col("m")["Password"].alias("password"), F.col("m")["host"].alias("host"), F.col("m")["token"].alias("token"))
+
+
+@query("SELECT o_orderkey AS id, date_trunc('second', o_orderdate::TIMESTAMP) AS at FROM orders")
+def timestamp_layouts(spark, d):
+    layouts = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss")
+    o = table(spark, d, "orders")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss")).otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000Z")))
+    return o.select(F.col("o_orderkey").alias("id"), T.any_timestamp(text, layouts).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT i AS id, s AS seconds FROM (VALUES (0, 5400.0::DOUBLE), (1, 45.0), (2, 0.25), (3, NULL), (4, 93784.5)) t(i, s)")
+def durations(spark, d):
+    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in ("1h30m", "45s", "250ms", "soon", "26h3m4.5s")])).alias("id", "t"))
+    return rows.select("id", T.duration_seconds(F.col("t")).alias("seconds"))
+
+
+@query("SELECT min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY text")
+def embed_dedupe(spark, d):
+    """Each distinct text is embedded once; the rest join back by hash."""
+    return docs_of(spark, d).groupBy("text").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_rrf(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
 
 
-def oracle_sql():
-    return {}
