@@ -237,6 +237,12 @@ def _pairs(members: DataFrame, turn: int) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _across(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links between two components; others change no class."""
+    a, b = (labels.select(F.col("node").alias(n), F.col("label").alias(f"of_{n}")) for n in "ab")
+    return links.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, labels): rows (doc_id, rk, node), nodes (node, rk, copies, sig), labels of linked nodes."""
     slim = docs.select("doc_id", row_key(docs).alias("rk"), "text")
@@ -266,7 +272,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         everyone = saved(rest.join(nodes.select("node", "sig"), "node").select(F.explode(more).alias("key"), "node"), "rekeyed")
         rest = everyone
         found = _verified(again.union(_pairs(rest, turn)).distinct(), nodes, docs)
-        if not found.isEmpty():
+        if not _across(found, labels).isEmpty():
             links = links.union(found)
             labels = components(links)
     return rows, nodes, labels
