@@ -12,17 +12,15 @@ any weights; near_duplicates uses weight 1, the plain Jaccard similarity of shin
 
 Texts of equal word sequence are collapsed first. BANDS bands of ROWS coordinates give bucket
 keys; two texts of similarity 0.8 share no bucket with a probability of 2e-6. A bucket of up to
-SMALL texts gives all its pairs, a larger one pairs each text with a representative (hashed by
-bucket, so another one in each band). Pairs whose signatures agree in fewer than 60 of 100
-coordinates are dropped (five standard deviations below 0.8); for the others the whole shingle
-sets are compared exactly. Verified links give components by minimum-label propagation.
-
-Texts of a large bucket that are not in the class of their representative go on: they meet a new
-representative of the whole bucket and, re-keyed by one more coordinate, each other. Each is
-re-keyed by ALTERNATIVES coordinates at once, so two similar texts are parted in all of them with
-a probability of 0.8% in one band and share ten bands on average. This ends when no large bucket
-has such a text, or after ROUNDS rounds. A class spans its verified links, so a missing link is
-made up for by any other path.
+SMALL texts gives all its pairs, a larger one pairs each text with a representative. Pairs whose
+signatures agree in fewer than 60 of 100 coordinates are dropped (five standard deviations below
+0.8); for the others the whole shingle sets are compared exactly. Verified links give components
+by minimum-label propagation.
+
+Large buckets that still hold texts of more than one component go on, whole: they are re-keyed by
+one more coordinate (another one in each band), so their texts meet in smaller buckets with new
+representatives. Only pairs across components that were not compared before are formed. This ends when no large
+bucket is mixed, when a round from the third on links no two components, or after ROUNDS rounds.
 
 Defined cases: null, empty and blank texts are copies of each other. Rows may repeat doc_id and
 text. In a class the smallest doc_id stays (null is larger than any). Empty tables give none.
@@ -48,8 +46,7 @@ BANDS = K // ROWS
 SMALL = 8
 THRESHOLD = 0.8
 PLAUSIBLE = 60
-ROUNDS = 2
-ALTERNATIVES = 3
+ROUNDS, LEAST_ROUNDS = 8, 3
 
 _SEEDS = symbols(4096, 77)
 _STEPS = symbols(64, 99)
@@ -195,17 +192,21 @@ def row_key(docs: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough, saved."""
-    sig = nodes.select("node", "sig")
-    near = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
-    near = saved(near.mapInArrow(_agreeing, "a binary, b binary"), "plausible")
-    if near.isEmpty():
-        return near
-    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+def _sets_of(ends: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes in ends, saved: one pass over the texts."""
     keys = nodes.join(ends, "node", "left_semi").select("rk").distinct().hint("shuffle_hash")
     texts = docs.select(row_key(docs).alias("rk"), "text").join(keys, "rk", "left_semi").select("text")
-    sets = saved(texts.mapInArrow(_sets, "node binary, shingles binary").join(ends, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    return saved(texts.mapInArrow(_sets, "node binary, shingles binary").join(ends, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+
+
+def _plausible(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree often enough, saved."""
+    near = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
+    return saved(near.mapInArrow(_agreeing, "a binary, b binary"), "plausible")
+
+
+def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough, saved."""
     both = near.join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b")
     return saved(both.mapInArrow(_similar, "a binary, b binary"), "links")
 
@@ -225,22 +226,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _order(turn: int) -> Column:
+    """Who stands for a bucket: at first the same text in all bands it can, later another in each."""
+    return F.xxhash64("node") if turn == 0 else F.xxhash64("key", "node", F.lit(turn))
+
+
 def _pairs(members: DataFrame, turn: int) -> DataFrame:
-    """members (key, node) -> distinct (a, b): all pairs of small buckets, stars of large ones."""
-    order = F.xxhash64("key", "node", F.lit(turn))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("h"), "node")).alias("first"))
-    buckets = buckets.where("n > 1").select("key", "n", F.col("first.node").alias("rep"))
-    rows = members.join(buckets, "key")
-    small = rows.where(f"n <= {SMALL}").select("key", F.col("node").alias("a"))
-    pairs = small.join(small.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b")
-    stars = rows.where(f"n > {SMALL} AND node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
+    """members (key, node, comp) -> distinct (a, b) of unlike comp: all pairs of small buckets, stars of large ones."""
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(_order(turn).alias("h"), "node", "comp")).alias("first"))
+    rows = members.join(buckets.where("n > 1"), "key")
+    small = rows.where(f"n <= {SMALL}").select("key", F.col("node").alias("a"), F.col("comp").alias("of_a"))
+    pairs = small.join(small.withColumnsRenamed({"a": "b", "of_a": "of_b"}), "key").where("a < b AND of_a <> of_b").select("a", "b")
+    stars = rows.where(f"n > {SMALL} AND comp <> first.comp").select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
     return pairs.union(stars).distinct()
 
 
 def _across(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """The links between two components; others change no class."""
+    """The links between two components, as (a, b) of their labels, saved; others change no class."""
     a, b = (labels.select(F.col("node").alias(n), F.col("label").alias(f"of_{n}")) for n in "ab")
-    return links.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    both = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    return saved(both.where("a <> b").distinct(), "across")
+
+
+def _joined(labels: DataFrame, across: DataFrame) -> DataFrame:
+    """labels after the links between components have joined them; only their small graph is labelled."""
+    merged = components(across)
+    onto = merged.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    old = labels.join(onto, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    return saved(old.union(merged.join(labels, "node", "left_anti").select("node", "label")), "labels")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -250,31 +263,36 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = saved(slim.mapInArrow(_sign, f"doc_id {id_type}, rk long, node binary, sig binary"), "signatures")
     nodes = saved(rows.groupBy("node").agg(F.min("rk").alias("rk"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * 4 * ROWS + 1, 4 * ROWS)) for i in range(BANDS)])
-    members = nodes.select("node", F.explode(keys).alias("key"))
-    links = _verified(_pairs(members, 0), nodes, docs)
-    labels = components(links)
+    members = nodes.select(F.explode(keys).alias("key"), "node", F.col("node").alias("comp"))
+    sig = nodes.select("node", "sig")
+    tried = saved(_pairs(members, 0), "pairs")
+    near = _plausible(tried, sig)
+    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    labels = components(_verified(near, _sets_of(ends, nodes, docs)))
     large = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {SMALL}").select("key")
-    rest = saved(members.join(large, "key", "left_semi"), "large")
-    everyone = rest
+    everyone = saved(members.join(large, "key", "left_semi").select("key", "node"), "large")
     for turn in range(1, ROUNDS + 1):
         known = labels.withColumnRenamed("label", "comp")
-        rest = rest.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        order = F.xxhash64("key", "node", F.lit(turn - 1))
-        reps = rest.groupBy("key").agg(F.min(F.struct(order.alias("h"), "comp")).alias("r")).select("key", F.col("r.comp").alias("rep_comp"))
-        rest = saved(rest.join(reps, "key").where("comp <> rep_comp").select("key", "node"), "rest")
+        everyone = everyone.join(known, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        buckets = everyone.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        rest = saved(everyone.join(buckets.where(f"n > {SMALL} AND low < high"), "key").select("key", "node", "comp"), "rest")
         if rest.isEmpty():
             break
-        fresh = F.xxhash64("key", "node", F.lit(turn))
-        whole = everyone.join(rest.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct(fresh.alias("h"), "node")).alias("r"))
-        again = rest.join(whole, "key").select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).where("a <> b")
-        at = [F.pmod(F.xxhash64("key", F.lit(turn), F.lit(i)), F.lit(K)) for i in range(ALTERNATIVES)]
-        more = F.array(*[F.xxhash64("key", F.lit(i), F.substring("sig", (a * 4 + 1).cast("int"), F.lit(4))) for i, a in enumerate(at)])
-        everyone = saved(rest.join(nodes.select("node", "sig"), "node").select(F.explode(more).alias("key"), "node"), "rekeyed")
-        rest = everyone
-        found = _verified(again.union(_pairs(rest, turn)).distinct(), nodes, docs)
-        if not _across(found, labels).isEmpty():
-            links = links.union(found)
-            labels = components(links)
+        if turn == 1:  # all later rounds meet in these texts alone
+            some = saved(rest.select("node").distinct(), "members")
+            sig = saved(sig.join(some, "node", "left_semi"), "signatures")
+            sets = _sets_of(some, nodes, docs)
+        at = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(K))
+        more = F.xxhash64("key", F.substring("sig", (at * 4 + 1).cast("int"), F.lit(4)))
+        everyone = saved(rest.join(sig, "node").select(more.alias("key"), "node", "comp"), "rekeyed")
+        pairs = saved(_pairs(everyone, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(pairs)
+        everyone = everyone.drop("comp")
+        across = _across(_verified(_plausible(pairs, sig), sets), labels)
+        if not across.isEmpty():
+            labels = _joined(labels, across)
+        elif turn >= LEAST_ROUNDS:
+            break
     return rows, nodes, labels
 
 
