@@ -17,10 +17,12 @@ signatures agree in fewer than 60 of 100 coordinates are dropped (five standard
 0.8); for the others the whole shingle sets are compared exactly. Verified links give components
 by minimum-label propagation.
 
-Large buckets that still hold texts of more than one component go on, whole: they are re-keyed by
-one more coordinate (another one in each band), so their texts meet in smaller buckets with new
-representatives. Only pairs across components that were not compared before are formed. This ends when no large
-bucket is mixed, when a round from the third on links no two components, or after ROUNDS rounds.
+Large buckets that still hold texts of more than one component go on, whole. A round keys their
+texts by one to LEVELS more coordinates (others in each band) at once, so they meet in a tree of ever
+smaller buckets, each with a representative of its own; the first bucket of up to SMALL texts on a
+path gives all its pairs. Only pairs across components that were not compared before are formed. The
+next round goes on below the deepest buckets. This ends when no large bucket is mixed, when a round
+links no two components, or after ROUNDS rounds.
 
 Defined cases: null, empty and blank texts are copies of each other. Rows may repeat doc_id and
 text. In a class the smallest doc_id stays (null is larger than any). Empty tables give none.
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import RunHasher, blocks, mix, symbols
-from .storage import saved
+from .storage import saved, sent_if_small
 
 WORDS = 5
 K = 100
@@ -46,7 +48,7 @@ BANDS = K // ROWS
 SMALL = 8
 THRESHOLD = 0.8
 PLAUSIBLE = 60
-ROUNDS, LEAST_ROUNDS = 8, 3
+ROUNDS, LEVELS = 3, 4
 
 _SEEDS = symbols(4096, 77)
 _STEPS = symbols(64, 99)
@@ -174,7 +176,7 @@ def _agreeing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, K) for c in ("sig_a", "sig_b"))
             batch = batch.filter(pa.array((a == b).sum(axis=1) >= PLAUSIBLE))
-        yield batch.select(["a", "b"])
+        yield batch.drop_columns(["sig_a", "sig_b"])
 
 
 def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,7 @@ def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
             common = len(np.intersect1d(s, t, assume_unique=True))
             keep.append(common >= THRESHOLD * (len(s) + len(t) - common))
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["set_a", "set_b"])
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -193,29 +195,35 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def _sets_of(ends: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes in ends, saved: one pass over the texts."""
-    keys = nodes.join(ends, "node", "left_semi").select("rk").distinct().hint("shuffle_hash")
+    """(node, shingles) of the nodes in ends, a saved table: one pass over the texts."""
+    ends = sent_if_small(ends)
+    keys = sent_if_small(saved(nodes.join(ends, "node", "left_semi").select("rk").distinct(), "keys"))
     texts = docs.select(row_key(docs).alias("rk"), "text").join(keys, "rk", "left_semi").select("text")
-    return saved(texts.mapInArrow(_sets, "node binary, shingles binary").join(ends, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    return sent_if_small(saved(texts.mapInArrow(_sets, "node binary, shingles binary").join(ends, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets"))
+
+
+def _schema(pairs: DataFrame) -> str:
+    return ", ".join(f"{c} {kind}" for c, kind in pairs.dtypes)
 
 
 def _plausible(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree often enough, saved."""
+    """The pairs (a, b, ...) whose signatures agree often enough."""
     near = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
-    return saved(near.mapInArrow(_agreeing, "a binary, b binary"), "plausible")
+    return near.select(*pairs.columns, "sig_a", "sig_b").mapInArrow(_agreeing, _schema(pairs))
 
 
 def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough, saved."""
+    """The pairs (a, b, ...) whose shingle sets are similar enough."""
     both = near.join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b")
-    return saved(both.mapInArrow(_similar, "a binary, b binary"), "links")
+    return both.select(*near.columns, "set_a", "set_b").mapInArrow(_similar, _schema(near))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): label is the smallest node of the component. Links (a, b) are saved tables."""
+    """(node, label): label is the smallest node of the component."""
     both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
+        labels = sent_if_small(labels)
         other = labels.withColumnsRenamed({"node": "b", "label": "other"})
         seen = both.join(other, "b").groupBy("a").agg(F.min("other").alias("m")).withColumnRenamed("a", "node")
         step = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
@@ -226,30 +234,44 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _order(turn: int) -> Column:
-    """Who stands for a bucket: at first the same text in all bands it can, later another in each."""
-    return F.xxhash64("node") if turn == 0 else F.xxhash64("key", "node", F.lit(turn))
-
-
-def _pairs(members: DataFrame, turn: int) -> DataFrame:
-    """members (key, node, comp) -> distinct (a, b) of unlike comp: all pairs of small buckets, stars of large ones."""
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(_order(turn).alias("h"), "node", "comp")).alias("first"))
+def _pairs(members: DataFrame) -> DataFrame:
+    """members (key, node) -> distinct (a, b): all pairs of small buckets, stars of large ones. The
+    smallest node stands for a bucket: stars of several bands share pairs, and it is their label."""
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
     rows = members.join(buckets.where("n > 1"), "key")
-    small = rows.where(f"n <= {SMALL}").select("key", F.col("node").alias("a"), F.col("comp").alias("of_a"))
-    pairs = small.join(small.withColumnsRenamed({"a": "b", "of_a": "of_b"}), "key").where("a < b AND of_a <> of_b").select("a", "b")
-    stars = rows.where(f"n > {SMALL} AND comp <> first.comp").select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
+    small = rows.where(f"n <= {SMALL}").select("key", F.col("node").alias("a"))
+    pairs = small.join(small.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b")
+    stars = rows.where(f"n > {SMALL} AND node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     return pairs.union(stars).distinct()
 
 
-def _across(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """The links between two components, as (a, b) of their labels, saved; others change no class."""
-    a, b = (labels.select(F.col("node").alias(n), F.col("label").alias(f"of_{n}")) for n in "ab")
-    both = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    return saved(both.where("a <> b").distinct(), "across")
+def _tree(members: DataFrame, sig: DataFrame) -> DataFrame:
+    """members (key, node, comp) -> (key, parent, level, node, comp) for the LEVELS keys below each, saved."""
+    at = [F.pmod(F.xxhash64("key", F.lit(level)), F.lit(K)) for level in range(LEVELS)]
+    parts = [F.substring("sig", (x * 4 + 1).cast("int"), F.lit(4)) for x in at]
+    keys = [F.col("key"), *(F.xxhash64("key", F.concat(*parts[: level + 1])) for level in range(LEVELS))]
+    steps = F.array(*[F.struct(below.alias("key"), above.alias("parent"), F.lit(level).alias("level")) for level, (above, below) in enumerate(zip(keys, keys[1:], strict=False), 1)])
+    return saved(members.join(sig, "node").select(F.explode(steps).alias("step"), "node", "comp").select("step.*", "node", "comp"), "tree")
+
+
+def _tree_pairs(tree: DataFrame) -> DataFrame:
+    """Distinct (a, b, of_a, of_b), the last two unlike comps: stars of large buckets, all pairs of the first small bucket on each path."""
+    first = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "comp")).alias("first")
+    buckets = saved(tree.groupBy("key", "parent").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), first), "buckets")
+    small_above = buckets.where(f"n <= {SMALL}").select(F.col("key").alias("parent"))
+    live = buckets.where("low < high").join(small_above, "parent", "left_anti").select("key", "n", "first")
+    rows = tree.select("key", "node", "comp").join(live, "key")
+    small = rows.where(f"n <= {SMALL}").select("key", F.col("node").alias("a"), F.col("comp").alias("of_a"))
+    pairs = small.join(small.withColumnsRenamed({"a": "b", "of_a": "of_b"}), "key").where("a < b AND of_a <> of_b").select("a", "b", "of_a", "of_b")
+    one, two = F.struct("node", "comp"), F.struct("first.node", "first.comp")
+    star = F.struct(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
+    stars = rows.where(f"n > {SMALL} AND comp <> first.comp").select(star.alias("s")).select("s.a.node", "s.b.node", "s.a.comp", "s.b.comp")
+    tasks = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.union(stars).repartition(tasks, "a", "b").distinct()
 
 
 def _joined(labels: DataFrame, across: DataFrame) -> DataFrame:
-    """labels after the links between components have joined them; only their small graph is labelled."""
+    """labels after links (a, b) between the labels of components; only their small graph is labelled."""
     merged = components(across)
     onto = merged.select(F.col("node").alias("label"), F.col("label").alias("up"))
     old = labels.join(onto, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
@@ -263,36 +285,33 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = saved(slim.mapInArrow(_sign, f"doc_id {id_type}, rk long, node binary, sig binary"), "signatures")
     nodes = saved(rows.groupBy("node").agg(F.min("rk").alias("rk"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * 4 * ROWS + 1, 4 * ROWS)) for i in range(BANDS)])
-    members = nodes.select(F.explode(keys).alias("key"), "node", F.col("node").alias("comp"))
+    members = nodes.select(F.explode(keys).alias("key"), "node")
     sig = nodes.select("node", "sig")
-    tried = saved(_pairs(members, 0), "pairs")
-    near = _plausible(tried, sig)
-    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    labels = components(_verified(near, _sets_of(ends, nodes, docs)))
+    tried = saved(_pairs(members), "pairs")
+    near = saved(_plausible(tried, sig), "plausible")
+    ends = saved(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "ends")
+    labels = components(saved(_verified(near, _sets_of(ends, nodes, docs)), "links"))
     large = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {SMALL}").select("key")
-    everyone = saved(members.join(large, "key", "left_semi").select("key", "node"), "large")
-    for turn in range(1, ROUNDS + 1):
-        known = labels.withColumnRenamed("label", "comp")
-        everyone = everyone.join(known, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        buckets = everyone.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        rest = saved(everyone.join(buckets.where(f"n > {SMALL} AND low < high"), "key").select("key", "node", "comp"), "rest")
+    everyone = members.join(large, "key", "left_semi")
+    for turn in range(ROUNDS):
+        known = everyone.join(sent_if_small(labels).withColumnRenamed("label", "comp"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        known = saved(known, "members")
+        mixed = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(f"n > {SMALL} AND low < high")
+        rest = saved(known.join(mixed.select("key"), "key", "left_semi"), "rest")
         if rest.isEmpty():
             break
-        if turn == 1:  # all later rounds meet in these texts alone
-            some = saved(rest.select("node").distinct(), "members")
-            sig = saved(sig.join(some, "node", "left_semi"), "signatures")
+        if turn == 0:  # all later rounds meet in these texts alone
+            some = saved(rest.select("node").distinct(), "texts")
+            sig = sent_if_small(saved(sig.join(sent_if_small(some), "node", "left_semi"), "signatures"))
             sets = _sets_of(some, nodes, docs)
-        at = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(K))
-        more = F.xxhash64("key", F.substring("sig", (at * 4 + 1).cast("int"), F.lit(4)))
-        everyone = saved(rest.join(sig, "node").select(more.alias("key"), "node", "comp"), "rekeyed")
-        pairs = saved(_pairs(everyone, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        everyone = everyone.drop("comp")
-        across = _across(_verified(_plausible(pairs, sig), sets), labels)
-        if not across.isEmpty():
-            labels = _joined(labels, across)
-        elif turn >= LEAST_ROUNDS:
+        tree = _tree(rest, sig)
+        pairs = saved(_tree_pairs(tree).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = _verified(_plausible(pairs, sig), sets)
+        across = saved(links.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "across")
+        if across.isEmpty():
             break
+        tried, everyone = tried.union(pairs.select("a", "b")), tree.where(f"level = {LEVELS}").select("key", "node")
+        labels = _joined(labels, across)
     return rows, nodes, labels
 
 

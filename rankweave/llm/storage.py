@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +25,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """A saved table, marked for broadcast if its values measure at most BROADCAST_BYTES; else as it
+    is, for a join by shuffle. Columns are strings, binaries or at most 8 bytes wide."""
+    wide = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = sum(wide, F.count(F.lit(1)) * 8 * len(df.columns))
+    return F.broadcast(df) if df.agg(size.alias("size")).first()["size"] <= BROADCAST_BYTES else df
