@@ -306,7 +306,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             sets = _sets_of(some, nodes, docs)
         tree = _tree(rest, sig)
         pairs = saved(_tree_pairs(tree).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = _verified(_plausible(pairs, sig), sets)
+        links = _verified(saved(_plausible(pairs, sig), "plausible"), sets)  # saved: one Python worker a task
         across = saved(links.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "across")
         if across.isEmpty():
             break
