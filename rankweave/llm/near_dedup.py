@@ -156,7 +156,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = {d: s for s, d in sets}
         known: dict[bytes, bytes] = {}
         names = list(distinct)
-        for a, b in blocks([distinct[d] for d in names], 400_000):
+        for a, b in blocks([distinct[d] for d in names], 200_000):
             signed = dart_signatures([distinct[d] for d in names[a:b]])
             known |= {d: row.tobytes() for d, row in zip(names[a:b], signed, strict=True)}
         yield pa.RecordBatch.from_arrays(
