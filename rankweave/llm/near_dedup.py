@@ -17,12 +17,11 @@ signatures agree in fewer than 60 of 100 coordinates are dropped (five standard
 0.8); for the others the whole shingle sets are compared exactly. Verified links give components
 by minimum-label propagation.
 
-Large buckets that still hold texts of more than one component go on, whole. A round keys their
-texts by one to LEVELS more coordinates (others in each band) at once, so they meet in a tree of ever
-smaller buckets, each with a representative of its own; the first bucket of up to SMALL texts on a
-path gives all its pairs. Only pairs across components that were not compared before are formed. The
-next round goes on below the deepest buckets. This ends when no large bucket is mixed, when a round
-links no two components, or after ROUNDS rounds.
+Large buckets that then still hold texts of more than one component are settled exactly. Their texts
+are cut into blocks of about BLOCK texts and BLOCK_BYTES of shingles (a component that fills blocks of
+its own, the smaller ones together), and every two blocks of a bucket that can hold texts of unlike
+components meet in a group of their own, where all common shingles are counted by a matrix product.
+So every two texts of 0.8 or more that share a bucket end up in one component, whatever its size.
 
 Defined cases: null, empty and blank texts are copies of each other. Rows may repeat doc_id and
 text. In a class the smallest doc_id stays (null is larger than any). Empty tables give none.
@@ -48,7 +47,8 @@ BANDS = K // ROWS
 SMALL = 8
 THRESHOLD = 0.8
 PLAUSIBLE = 60
-ROUNDS, LEVELS = 3, 4
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+COLUMNS = 4096
 
 _SEEDS = symbols(4096, 77)
 _STEPS = symbols(64, 99)
@@ -245,29 +245,75 @@ def _pairs(members: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def _tree(members: DataFrame, sig: DataFrame) -> DataFrame:
-    """members (key, node, comp) -> (key, parent, level, node, comp) for the LEVELS keys below each, saved."""
-    at = [F.pmod(F.xxhash64("key", F.lit(level)), F.lit(K)) for level in range(LEVELS)]
-    parts = [F.substring("sig", (x * 4 + 1).cast("int"), F.lit(4)) for x in at]
-    keys = [F.col("key"), *(F.xxhash64("key", F.concat(*parts[: level + 1])) for level in range(LEVELS))]
-    steps = F.array(*[F.struct(below.alias("key"), above.alias("parent"), F.lit(level).alias("level")) for level, (above, below) in enumerate(zip(keys, keys[1:], strict=False), 1)])
-    return saved(members.join(sig, "node").select(F.explode(steps).alias("step"), "node", "comp").select("step.*", "node", "comp"), "tree")
-
-
-def _tree_pairs(tree: DataFrame) -> DataFrame:
-    """Distinct (a, b, of_a, of_b), the last two unlike comps: stars of large buckets, all pairs of the first small bucket on each path."""
-    first = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "comp")).alias("first")
-    buckets = saved(tree.groupBy("key", "parent").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), first), "buckets")
-    small_above = buckets.where(f"n <= {SMALL}").select(F.col("key").alias("parent"))
-    live = buckets.where("low < high").join(small_above, "parent", "left_anti").select("key", "n", "first")
-    rows = tree.select("key", "node", "comp").join(live, "key")
-    small = rows.where(f"n <= {SMALL}").select("key", F.col("node").alias("a"), F.col("comp").alias("of_a"))
-    pairs = small.join(small.withColumnsRenamed({"a": "b", "of_a": "of_b"}), "key").where("a < b AND of_a <> of_b").select("a", "b", "of_a", "of_b")
-    one, two = F.struct("node", "comp"), F.struct("first.node", "first.comp")
-    star = F.struct(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
-    stars = rows.where(f"n > {SMALL} AND comp <> first.comp").select(star.alias("s")).select("s.a.node", "s.b.node", "s.a.comp", "s.b.comp")
-    tasks = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.union(stars).repartition(tasks, "a", "b").distinct()
+def _spanning(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of numbers that link the same components as the given ones, without cycles."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for x, y in pairs.tolist():
+        if (p := find(x)) != (q := find(y)):
+            root[p] = q
+            out.append((x, y))
+    return out
+
+
+def _common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """The number of common elements of each of the sets in one with each in two."""
+    (x, at_x), (y, at_y) = ((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])) for sets in (one, two))
+    shared = np.intersect1d(x, y)
+    counts = np.zeros((len(one), len(two)), np.float32)  # exact below 2 ** 24
+    for a in range(0, len(shared), COLUMNS):
+        part = shared[a : a + COLUMNS]
+        left, right = (np.zeros((len(sets), len(part)), np.float32) for sets in (one, two))
+        for matrix, values, at in ((left, x, at_x), (right, y, at_y)):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[place] == values
+            matrix[at[hit], place[hit]] = 1
+        counts += left @ right.T
+    return counts.astype(np.float64)
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    """(a, b): components that hold similar texts of the two blocks, or of the one, without cycles."""
+    names, comp = np.unique(np.array(group.column("comp").to_pylist(), object), return_inverse=True)
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+    side = group.column("side").to_numpy()
+    one = np.flatnonzero(side == 0)
+    two = np.flatnonzero(side == 1) if side.any() else one
+    sizes = np.array([len(s) for s in sets], float)
+    common = _common([sets[i] for i in one], [sets[i] for i in two])
+    near = (common >= THRESHOLD * (sizes[one][:, None] + sizes[two] - common)) & (comp[one][:, None] != comp[two])
+    i, j = np.nonzero(near)
+    ends = np.unique(np.sort(np.stack([comp[one[i]], comp[two[j]]], axis=1), axis=1), axis=0)
+    links = _spanning(ends)
+    return pa.table({"a": pa.array([names[x] for x, _ in links], pa.binary()), "b": pa.array([names[y] for _, y in links], pa.binary())})
+
+
+def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """rest (key, node, comp), sets (node, shingles) -> distinct (a, b): the unlike comps that hold
+    similar texts of one bucket. Saved."""
+    sizes = sent_if_small(saved(sets.select("node", F.octet_length("shingles").cast("long").alias("size")), "sizes"))
+    per = rest.join(sizes, "node").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    alone = (F.col("n") >= BLOCK) | (F.col("size") >= BLOCK_BYTES)
+    per = saved(per.withColumn("own", F.when(alone, F.col("comp")).otherwise(F.lit(b""))), "bucket-parts")
+    pieces = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("long").alias("pieces")
+    parts = saved(per.groupBy("key", "own").agg(pieces), "pieces")
+    blocks = parts.select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("no"))
+    two = blocks.withColumnsRenamed({"own": "own_b", "no": "no_b"})
+    pairs = blocks.join(two, "key").where("(own < own_b OR (own = own_b AND own = X'' AND no <= no_b))")
+    ends = F.array(F.struct("own", "no", F.lit(0).alias("side")), F.struct(F.col("own_b").alias("own"), F.col("no_b").alias("no"), F.lit(1).alias("side")))
+    once = (F.col("own") == F.col("own_b")) & (F.col("no") == F.col("no_b"))
+    met = pairs.select("key", F.xxhash64("key", "own", "no", "own_b", "no_b").alias("pair"), F.explode(F.when(once, F.slice(ends, 1, 1)).otherwise(ends)).alias("end"))
+    met = sent_if_small(saved(met.select("key", "pair", "end.*"), "block-pairs"))
+    place = sent_if_small(saved(per.select("key", "comp", "own").join(parts, ["key", "own"]), "places"))
+    rows = rest.join(place, ["key", "comp"]).withColumn("no", F.pmod(F.xxhash64("node"), F.col("pieces")))
+    rows = rows.join(met, ["key", "own", "no"]).select("pair", "side", "node", "comp").join(sets, "node").select("pair", "side", "comp", "shingles")
+    return saved(rows.groupBy("pair").applyInArrow(_block_links, "a binary, b binary").distinct(), "across")
 
 
 def _joined(labels: DataFrame, across: DataFrame) -> DataFrame:
@@ -287,31 +333,19 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * 4 * ROWS + 1, 4 * ROWS)) for i in range(BANDS)])
     members = nodes.select(F.explode(keys).alias("key"), "node")
     sig = nodes.select("node", "sig")
-    tried = saved(_pairs(members), "pairs")
-    near = saved(_plausible(tried, sig), "plausible")
+    near = saved(_plausible(saved(_pairs(members), "pairs"), sig), "plausible")
     ends = saved(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "ends")
     labels = components(saved(_verified(near, _sets_of(ends, nodes, docs)), "links"))
     large = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {SMALL}").select("key")
-    everyone = members.join(large, "key", "left_semi")
-    for turn in range(ROUNDS):
-        known = everyone.join(sent_if_small(labels).withColumnRenamed("label", "comp"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        known = saved(known, "members")
-        mixed = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(f"n > {SMALL} AND low < high")
-        rest = saved(known.join(mixed.select("key"), "key", "left_semi"), "rest")
-        if rest.isEmpty():
-            break
-        if turn == 0:  # all later rounds meet in these texts alone
-            some = saved(rest.select("node").distinct(), "texts")
-            sig = sent_if_small(saved(sig.join(sent_if_small(some), "node", "left_semi"), "signatures"))
-            sets = _sets_of(some, nodes, docs)
-        tree = _tree(rest, sig)
-        pairs = saved(_tree_pairs(tree).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = _verified(saved(_plausible(pairs, sig), "plausible"), sets)  # saved: one Python worker a task
-        across = saved(links.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "across")
-        if across.isEmpty():
-            break
-        tried, everyone = tried.union(pairs.select("a", "b")), tree.where(f"level = {LEVELS}").select("key", "node")
-        labels = _joined(labels, across)
+    known = members.join(large, "key", "left_semi").join(sent_if_small(labels).withColumnRenamed("label", "comp"), "node", "left")
+    known = saved(known.select("key", "node", F.coalesce("comp", "node").alias("comp")), "members")
+    mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    rest = saved(known.join(mixed.select("key"), "key", "left_semi"), "rest")
+    if not rest.isEmpty():
+        some = saved(rest.select("node").distinct(), "texts")
+        across = _across(rest, _sets_of(some, nodes, docs))
+        if not across.isEmpty():
+            labels = _joined(labels, across)
     return rows, nodes, labels
 
 

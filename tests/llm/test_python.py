@@ -76,6 +76,25 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_pairs_inside_a_large_family_of_templates(spark):
+    """Background similarity 146 / 196; 60 pairs are told apart from the family by 12 shingles."""
+    template = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        twin = [f"p{i // 2}-{k}" for k in range(12)] if i < 120 else []
+        rows.append((i, " ".join(template + twin + [f"x{i}-{k}" for k in range(25 - len(twin))])))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert partition_of((r.doc_id, r.class_id) for r in got) == partition_of(zip((r[0] for r in rows), brute_classes(rows), strict=True))
+
+
+def test_block_links_match_brute_force(monkeypatch):
+    monkeypatch.setattr(near_dedup, "COLUMNS", 50)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 130, 220).astype(np.uint64)) for _ in range(40)]
+    common = near_dedup._common(sets[:15], sets[15:])
+    assert common.tolist() == [[len(np.intersect1d(s, t)) for t in sets[15:]] for s in sets[:15]]
+
+
 def test_near_dedup_odd_rows(odd, odd_rows, empty):
     kept = near_dedup.near_dedup(odd)
     assert kept.columns == odd.columns
