@@ -1,15 +1,18 @@
 """Balanced label propagation over equal texts.
 
 Documents of equal text are linked. All documents are dealt evenly over the shards, then the
-linked ones move in rounds towards the shard that most of their neighbours are on, as far as
-the free seats of that shard (its capacity quota) allow. Documents without links fill the seats
-that remain, so the numbers of documents per shard differ by one at most at all times.
+linked ones move in rounds towards the shard that most of their neighbours are on. A round grants as
+many moves from shard to shard as leave no shard above its capacity: swaps and longer cycles between
+full shards, and moves into the free seats. Ties go by hash, another one each round, and a shard that
+could not take all moves towards it is passed over by as large a share of the texts in the next round.
+Rounds go on until two in a row gather nothing. Documents without links fill the seats that remain, so
+the numbers of documents per shard differ by one at most at all times.
 
 The unit that moves is the cell (text, shard, number of documents): documents of one text on one
 shard are interchangeable, so no pair of documents is ever formed and a text that holds a third
-of all rows is 16 cells. The demand for each shard is summed by hash bucket and granted bucket by
-bucket until the quota is spent; the bucket on the edge is granted cell by cell. What is
-broadcast or sent to the driver is bounded by shards x buckets rows.
+of all rows is 16 cells. The moves wished from each shard to each other are summed by hash bucket and
+granted bucket by bucket until the quota is spent; the bucket on the edge is granted cell by cell. What
+is broadcast or sent to the driver in a round is bounded by shards x shards rows.
 
 Defined cases: a null text counts as empty (size 1). Rows may repeat; each gets a seat of its
 own. A null doc_id is a value like any other. An empty table gives an empty result.
@@ -25,7 +28,6 @@ from pyspark.sql import functions as F
 from .storage import saved
 
 SHARDS = 16
-ROUNDS = 8
 BUCKETS = 1024
 
 
@@ -42,36 +44,93 @@ def _cells(base: DataFrame, shards: int) -> DataFrame:
     return cells.withColumn("total", F.sum("n").over(Window.partitionBy("k1", "k2"))).where("total > 1").drop("total")
 
 
-def _loads(cells: DataFrame, shards: int) -> list[int]:
-    found = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    return [found.get(s, 0) for s in range(shards)]
-
-
-def _round(cells: DataFrame, room: list[int], turn: int, buckets: int) -> DataFrame:
-    """The moves (k1, k2, shard, target, m) granted in one round."""
-    near = Window.partitionBy("k1", "k2").orderBy(F.col("open").desc(), F.col("n").desc(), F.xxhash64("k1", "shard"))
-    aim = cells.withColumn("open", (_pick(room, F.col("shard")) > 0).cast("int")).select(
-        "*", F.first("shard").over(near).alias("target"), F.first("n").over(near).alias("target_n"), F.first("open").over(near).alias("target_open")
-    )
-    wish = aim.where("target_open = 1 AND shard <> target AND n <= target_n").withColumn("pb", F.pmod(F.xxhash64("k1", "k2", F.lit(turn)), F.lit(buckets)).cast("int"))
-    demand = wish.groupBy("target", "pb").agg(F.sum("n").alias("d"))
-    demand = demand.withColumn("upto", F.sum("d").over(Window.partitionBy("target").orderBy("pb")))
-    granted = F.least(F.col("d"), F.greatest(F.lit(0), _pick(room, F.col("target")) - (F.col("upto") - F.col("d"))))
-    demand = demand.withColumn("grant", granted).where("grant > 0")
-    line = F.sum("n").over(Window.partitionBy("target", "pb").orderBy("k1", "k2", "shard")) - F.col("n")
-    wish = wish.withColumn("before", line).join(F.broadcast(demand), ["target", "pb"])
-    return wish.select("k1", "k2", "shard", "target", F.least(F.col("n"), F.col("grant") - F.col("before")).alias("m")).where("m > 0")
-
-
-def propagate(base: DataFrame, capacity: list[int], rounds: int, buckets: int) -> DataFrame:
+def _quotas(demand: list[list[int]], room: list[int]) -> list[list[int]]:
+    """How much of the demand from shard to shard is granted: swaps, then longer cycles and ways into
+    free room, until none is left. No shard gains more than it gives and has room for."""
+    shards = len(room)
+    left, room, grant = [list(row) for row in demand], list(room), [[0] * shards for _ in demand]
+
+    def push(path: list[int], m: int) -> None:
+        for a, b in zip(path, path[1:], strict=False):
+            left[a][b] -= m
+            grant[a][b] += m
+
+    def way(start: int) -> list[int] | None:
+        """A shortest way back to start or into a shard with room."""
+        back: dict[int, int | None] = {start: None}
+        queue = [start]
+        for s in queue:
+            for t in range(shards):
+                if left[s][t] and (t == start or (t not in back and room[t] > 0)):
+                    path, up = [t], s
+                    while up is not None:
+                        path.append(up)
+                        up = back[up]
+                    return path[::-1]
+                if left[s][t] and t not in back:
+                    back[t] = s
+                    queue.append(t)
+        return None
+
+    for a in range(shards):
+        for b in range(a):
+            push([a, b, a], min(left[a][b], left[b][a]))
+    for start in range(shards):
+        while path := way(start):
+            m, end = min(left[a][b] for a, b in zip(path, path[1:], strict=False)), path[-1]
+            if end != start:
+                m = min(m, room[end])
+                room[end] -= m
+                room[start] += m
+            push(path, m)
+    return grant
+
+
+def _wishes(cells: DataFrame, passed: list[float], turn: int, buckets: int) -> DataFrame:
+    """The cells (k1, k2, shard, n) that are not yet on the target of their text, with it and a hash bucket."""
+    permille = F.pmod(F.xxhash64("k1", "shard", F.lit(turn)), F.lit(1000))
+    is_open = (permille >= _pick([round(1000 * x) for x in passed], F.col("shard"))).cast("int")
+    near = Window.partitionBy("k1", "k2").orderBy(is_open.desc(), F.col("n").desc(), F.xxhash64("shard", "k1", F.lit(turn)))
+    aim = cells.select("*", F.first("shard").over(near).alias("target")).where("shard <> target")
+    return aim.withColumn("pb", F.pmod(F.xxhash64("k1", "k2", F.lit(turn)), F.lit(buckets)).cast("int"))
+
+
+def _granted(wish: DataFrame, quotas: list[list[int]]) -> DataFrame:
+    """The moves (k1, k2, shard, target, m) of the wishes within the quotas."""
+    quota = _pick([q for row in quotas for q in row], F.col("shard") * len(quotas) + F.col("target"))
+    demand = wish.groupBy("shard", "target", "pb").agg(F.sum("n").alias("d"))
+    demand = demand.withColumn("upto", F.sum("d").over(Window.partitionBy("shard", "target").orderBy("pb")))
+    edge = demand.where(F.col("upto") > quota).groupBy("shard", "target").agg(F.min(F.struct("pb", (quota - F.col("upto") + F.col("d")).alias("left"))).alias("edge"))
+    line = F.sum("n").over(Window.partitionBy("shard", "target", "pb").orderBy("k1", "k2")) - F.col("n")
+    wish = wish.withColumn("before", line).join(F.broadcast(edge), ["shard", "target"], "left")
+    m = F.when(F.col("edge").isNull() | (F.col("pb") < F.col("edge.pb")), F.col("n")).when(F.col("pb") == F.col("edge.pb"), F.least(F.col("n"), F.col("edge.left") - F.col("before")))
+    return wish.select("k1", "k2", "shard", "target", m.alias("m")).where("m > 0")
+
+
+def propagate(base: DataFrame, capacity: list[int], rounds: int | None, buckets: int) -> DataFrame:
     """Cells after label propagation; no shard holds more linked documents than its capacity."""
     shards = len(capacity)
     cells = saved(_cells(base, shards), "cells")
-    for turn in range(rounds):
-        room = [c - used for c, used in zip(capacity, _loads(cells, shards), strict=True)]
-        moves = saved(_round(cells, room, turn, buckets), "moves")
-        if moves.isEmpty():
+    passed, best, idle, turn = [0.0] * shards, 0, 0, 0
+    while idle < 2 and (rounds is None or turn < rounds):
+        found = {r["shard"]: r for r in cells.groupBy("shard").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("gathered")).collect()}
+        gathered = sum(r["gathered"] for r in found.values())
+        idle = 0 if gathered > best else idle + 1
+        best = max(best, gathered)
+        room = [c - (found[s]["n"] if s in found else 0) for s, c in enumerate(capacity)]
+        wish = saved(_wishes(cells, passed, turn, buckets), "wishes")
+        demand = [[0] * shards for _ in range(shards)]
+        for r in wish.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect():
+            demand[r["shard"]][r["target"]] = r["n"]
+        if not any(map(any, demand)) and not any(passed):
             break
+        quotas = _quotas(demand, room)
+        asked, given = ([sum(row[t] for row in m) for t in range(shards)] for m in (demand, quotas))
+        passed = [1 - g / a if a else 0.0 for a, g in zip(asked, given, strict=True)]
+        turn += 1
+        if not any(given):
+            continue
+        moves = saved(_granted(wish, quotas), "moves")
         out = moves.select("k1", "k2", "shard", (-F.col("m")).alias("n"))
         into = moves.select("k1", "k2", F.col("target").alias("shard"), F.col("m").alias("n"))
         merged = cells.unionByName(out).unionByName(into).groupBy("k1", "k2", "shard").agg(F.sum("n").alias("n"))
@@ -79,7 +138,7 @@ def propagate(base: DataFrame, capacity: list[int], rounds: int, buckets: int) -
     return cells
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, buckets: int = BUCKETS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; law `rows`: counts at most one apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(

@@ -54,6 +54,28 @@ def test_sharding_law_and_cut(odd, odd_rows, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_swaps_between_full_shards(spark):
+    """Every text has 2 to 5 copies, so no seat is free; later 20 rows without copies are added."""
+    for alone in (0, 20):
+        texts = [f"text {i}" for i in range(400) for _ in range(2 + i % 4)] + [f"alone {i}" for i in range(alone)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = sharding.shard_documents(df, shards=16).collect()
+        sizes = Counter(r.shard for r in rows)
+        assert len(rows) == len(texts) and len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1
+        spread = defaultdict(set)
+        for r in rows:
+            spread[texts[r.doc_id]].add(r.shard)
+        torn = sum(len(s) > 1 for s in spread.values())
+        print("torn", alone, torn)
+        assert torn <= 40
+
+
+def test_quotas_grant_cycles_and_free_room():
+    assert sharding._quotas([[0, 5, 0], [3, 0, 0], [0, 0, 0]], [0, 0, 0]) == [[0, 3, 0], [3, 0, 0], [0, 0, 0]]
+    assert sharding._quotas([[0, 2, 0], [0, 0, 3], [4, 0, 0]], [0, 0, 0]) == [[0, 2, 0], [0, 0, 2], [2, 0, 0]]
+    assert sharding._quotas([[0, 4, 0], [0, 0, 3], [0, 0, 0]], [0, 0, 1]) == [[0, 1, 0], [0, 0, 1], [0, 0, 0]]
+
+
 def brute_mix(rows, repeats=3):
     names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
     sizes = [sum(len(re.findall(mixing.WORD, r[1] or "")) for r in rows if r[3] == s) for s in names]
