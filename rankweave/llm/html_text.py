@@ -53,7 +53,7 @@ CUT_WORDS = frozenset(
 CUT_FIRST = frozenset(("header", "site"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -82,12 +82,14 @@ def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden":
+        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true"):
             return True
         if name == "role":
             if value in CUT_ROLES:
                 return True
             continue
+        if name not in ("class", "id"):
+            continue
         words = _WORDS.findall(value)
         if CUT_WORDS.intersection(words) or (words and words[0] in CUT_FIRST and len(words) <= 2 and "header" in words):
             return True

@@ -232,3 +232,11 @@ def test_html(spark):
     assert {r.page_id: r.text for r in got if r.page_id is not None} == {i: t for i, (_, t) in enumerate(PAGES)}
     assert html_text.extract_pages(df.limit(0)).count() == 0
     assert html_text.extract("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
+
+
+def test_html_reads_attributes_by_name():
+    shown = ['class="post" style="overflow:hidden"', 'aria-hidden="false"', 'title="Hidden gems"', 'data-hidden="0"', 'data-id="nav-3"', "title='a class=\"menu\" hidden'", "data-role=navigation", 'data-x=1 title="x > hidden"']
+    for attributes in shown:
+        assert html_text.extract(f"<body><div {attributes}><p>The text of the page</p></div></body>") == "The text of the page", attributes
+    for attributes in ["hidden", 'class="post" hidden', 'hidden=""', "HIDDEN=hidden", 'aria-hidden="true"', 'data-x="1"hidden', "role = 'navigation'", "class=menu", "title='x' id=\"menu\""]:
+        assert html_text.extract(f"<body><p>The text of the page</p><div {attributes}>cut</div></body>") == "The text of the page", attributes
