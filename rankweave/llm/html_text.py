@@ -15,8 +15,12 @@ the last), or the whole article or main element around the best subtree.
 
 Elements that are not the article by their meaning (menus, headers and footers of the page,
 sidebars, notices, adverts, forms, scripts, styles, reader comments) are cut by tag, role and the
-words of class and id before densities are taken. A page without a dense node gives the text of
-the body.
+words of class and id before densities are taken. Words of class and id do not cut a heading, an
+element that holds most of the text of the articles or mains, one that holds most of the page's text
+outside links (where there is article text beside it, only inside that article and by a name that is
+not made of such words alone nor of reader comments), or one whose id is made from the title in it;
+words behind has, with, without or no do not count. There the densities decide. A page without a
+dense node gives the text of the body.
 
 Defined cases: null and empty pages, and pages without text, give the empty string. Text outside
 any element counts as body text. Repeated rows are extracted one by one.
@@ -51,24 +55,31 @@ CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar widget cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus respond related recommended pagination pager toolbar masthead topbar".split()
 )
 CUT_FIRST = frozenset(("header", "site"))
+COMMENT_WORDS = frozenset("comment comments disqus respond".split())
+NEGATIONS = frozenset("has have with without no".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
+_TITLE_WORDS = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "words", "pure", "id")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.cut = tag, parent, cut
+        # Words of class and id that speak for a cut, whether there are no others; the id, if they come from it alone.
+        self.words: frozenset[str] = frozenset()
+        self.pure = False
+        self.id = ""
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
+def _is_cut(tag: str, values: dict[str, str], parent: Node) -> bool:
     if tag in CUT:
         return True
     if tag == "header":
@@ -78,22 +89,86 @@ def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
                 return False
             up = up.parent
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main"):
         return False
+    return "hidden" in values or values.get("aria-hidden", "").strip() == "true" or values.get("role") in CUT_ROLES
+
+
+def _values(attributes: str) -> dict[str, str]:
+    values: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true"):
-            return True
-        if name == "role":
-            if value in CUT_ROLES:
-                return True
+        values.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return values
+
+
+def _cut_words(value: str) -> set[str]:
+    words: list[str] = []
+    for name in value.split():
+        for word in _WORDS.findall(name):
+            if word in NEGATIONS:
+                break
+            words.append(word)
+    found = CUT_WORDS.intersection(words)
+    if words and words[0] in CUT_FIRST and len(words) <= 2 and "header" in words:
+        found |= {"header"}
+    return set(found)
+
+
+def _titled(node: Node) -> bool:
+    """Whether the id is made from the first heading in the node, and not of cut words alone."""
+    words = _TITLE_WORDS.findall(node.id.replace("_", " "))
+    if CUT_WORDS.issuperset(words):
+        return False
+    stack = [node]
+    while stack:
+        at = stack.pop()
+        if at.tag in HEADINGS:
+            title = "".join(p if isinstance(p, str) else " " for p in _flat(at))
+            return set(words) <= set(_TITLE_WORDS.findall(html.unescape(title).lower()))
+        stack.extend(p for p in reversed(at.parts) if isinstance(p, Node) and not p.cut)
+    return False
+
+
+def _flat(node: Node) -> Iterator[str | Node]:
+    stack: list[str | Node] = [node]
+    while stack:
+        at = stack.pop()
+        yield at
+        if isinstance(at, Node):
+            stack.extend(reversed(at.parts))
+
+
+def _cut_by_words(root: Node) -> None:
+    """Cut the elements whose class or id speaks for it, unless what they hold speaks against it."""
+    order: list[tuple[Node, bool]] = []
+    plain: dict[Node, int] = {}
+    told: dict[Node, int] = {}  # of plain, what lies in an article or main
+    stack, marked = [(root, False, False)], False
+    while stack:
+        node, in_link, in_article = stack.pop()
+        if node.cut:
+            continue
+        in_link = in_link or node.tag == "a"
+        in_article = in_article or (node.tag in ("article", "main") and not node.words)
+        order.append((node, in_article))
+        marked = marked or bool(node.words)
+        plain[node] = 0 if in_link else sum(len(_SPACE.sub("", p)) for p in node.parts if isinstance(p, str))
+        stack.extend((p, in_link, in_article) for p in node.parts if isinstance(p, Node))
+    if not marked:
+        return
+    for node, _ in reversed(order):
+        inner = [p for p in node.parts if isinstance(p, Node) and not p.cut]
+        plain[node] += sum(plain[p] for p in inner)
+        told[node] = plain[node] if node.tag in ("article", "main") and not node.words else sum(told[p] for p in inner)
+    for node, in_article in order:
+        if not node.words or node.tag in HEADINGS or node.tag in ("html", "body", "article", "main"):
             continue
-        if name not in ("class", "id"):
+        if 2 * told[node] > told[root] or (node.id and _titled(node)):
             continue
-        words = _WORDS.findall(value)
-        if CUT_WORDS.intersection(words) or (words and words[0] in CUT_FIRST and len(words) <= 2 and "header" in words):
-            return True
-    return False
+        beside = told[root] > (plain[node] if in_article else told[node])
+        if 2 * plain[node] > plain[root] and (not beside or (in_article and not node.pure and not COMMENT_WORDS & node.words)):
+            continue
+        node.cut = True
 
 
 def parse(page: str) -> Node:
@@ -120,7 +195,12 @@ def parse(page: str) -> Node:
         if tag in ("html", "body") and (tag == "html" or _inside(here, "body")):
             continue
         here = _make_room(here, tag)
-        node = Node(tag, here, _is_cut(tag, m[3], here))
+        values = _values(m[3]) if m[3] else {}
+        node = Node(tag, here, _is_cut(tag, values, here))
+        if not node.cut and ("class" in values or "id" in values):
+            by_class, by_id = _cut_words(values.get("class", "")), _cut_words(values.get("id", ""))
+            node.pure = CUT_WORDS.issuperset(_WORDS.findall(values.get("class", "") if by_class else values.get("id", "")))
+            node.words, node.id = frozenset(by_class | by_id), "" if by_class else values.get("id", "")
         here.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -272,7 +352,9 @@ def _blocks(nodes: list[Node | str]) -> list[str]:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    body = _measure(root := parse(page))
+    root = parse(page)
+    _cut_by_words(root)
+    body = _measure(root)
     if not root.chars:
         return ""
     return "\n".join(_blocks(_chosen(body)))

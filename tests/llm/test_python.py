@@ -240,3 +240,26 @@ def test_html_reads_attributes_by_name():
         assert html_text.extract(f"<body><div {attributes}><p>The text of the page</p></div></body>") == "The text of the page", attributes
     for attributes in ["hidden", 'class="post" hidden', 'hidden=""', "HIDDEN=hidden", 'aria-hidden="true"', 'data-x="1"hidden', "role = 'navigation'", "class=menu", "title='x' id=\"menu\""]:
         assert html_text.extract(f"<body><p>The text of the page</p><div {attributes}>cut</div></body>") == "The text of the page", attributes
+
+
+STORY = "<h1>Title</h1><p>A long paragraph of the article with many words in it.</p><p>And a second one, with more words of the same article.</p>"
+TOLD = "Title\nA long paragraph of the article with many words in it.\nAnd a second one, with more words of the same article."
+
+
+def test_html_words_of_class_do_not_cut_the_article():
+    for name in ["layout has-sidebar", "content-with-nav", "cookie-consent-ready", "page widget", "no-comments"]:
+        assert html_text.extract(f"<body><div class='{name}'><article>{STORY}</article></div><div class=sidebar>side</div></body>") == TOLD, name
+        assert html_text.extract(f"<body><div class='{name}'>{STORY}</div><div class=sidebar>side</div></body>") == TOLD, name
+    for name, title in [("related-work", "Related work"), ("social-history", "A social history"), ("menu-design", "Menu design"), ("share-prices", "Share prices")]:
+        want = f"{TOLD}\n{title}\nMore about it."
+        assert html_text.extract(f"<body><article>{STORY}<h2 id={name}>{title}</h2><p>More about it.</p></article></body>") == want
+        assert html_text.extract(f"<body><article>{STORY}<section id={name}><h2>{title}</h2><p>More about it.</p></section></article></body>") == want
+
+
+def test_html_words_of_class_still_cut_the_rest():
+    thread = "<h2>Comments</h2>" + "<article class=comment-body><p>A very long comment of a reader, at length and with many words.</p></article>" * 9
+    for rest in [f"<div id=comments>{thread}</div>", "<div class=related-posts><h2>More</h2><article><p>Teaser</p></article></div>", "<section id=cookie-consent><h2>Cookie consent</h2><p>We use some.</p></section>"]:
+        assert html_text.extract(f"<body><main><article>{STORY}</article>{rest}</main></body>") == TOLD
+    advert = "<div class=ad>An advert of more words than the whole article has.</div>"
+    assert html_text.extract(f"<body>{advert}<article><p>Short.</p></article></body>") == html_text.extract(f"<body><article><p>Short.</p>{advert}</article></body>") == "Short."
+    assert html_text.extract(f"<body><article><h1>T</h1><div class='entry social'>{STORY}</div></article></body>") == "T\n" + TOLD
