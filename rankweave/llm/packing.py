@@ -9,8 +9,8 @@ a bounded number of windows by best fit, largest piece first, without cutting.
 
 Tokenising: texts are split into the words of the byte-level BPE by array operations, and only
 words not met lately are encoded by the tokenizer. Only code points below 0x250 are split that
-way; a text with any other goes through the tokenizer as a whole. Strings of special tokens in a
-text are ordinary text.
+way; a text with any other, or with the string of an added token such as <|endoftext|> (which the
+tokenizer turns into the id of that token), goes through the tokenizer as a whole.
 
 Defined cases: a null or empty text is the single id 0. Repeated rows are packed one by one. An
 empty table gives no pieces. The result depends on the order of the input rows only.
@@ -55,7 +55,7 @@ class BatchTokenizer:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.added = [token.content for token in self.slow.get_added_tokens_decoder().values()]
         letters = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
         # The alphabet of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on.
         others = iter(range(256, 512))
@@ -74,7 +74,7 @@ class BatchTokenizer:
             units = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
             if len(units) == 0:
                 out[i] = np.zeros(0, np.uint32)
-            elif int(units.max()) < _LIMIT:
+            elif int(units.max()) < _LIMIT and not any(x in t for x in self.added):
                 fast.append(i)
                 raw.append(units)
             else:

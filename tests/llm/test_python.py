@@ -176,6 +176,16 @@ def test_tokenizer_equals_library():
     assert [x.tolist() for x in tok(texts)] == [e.ids for e in tok.slow.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokenizer_keeps_added_tokens():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "<|endoftext|", "no token here", "☃ <|endoftext|> x"]
+    got = [x.tolist() for x in packing.BatchTokenizer(packing.default_tokenizer())(texts)]
+    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert got[0] == [50256]
+
+
 def test_packing(spark, odd, odd_rows, empty):
     from tokenizers import Tokenizer
 
