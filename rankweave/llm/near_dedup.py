@@ -21,7 +21,7 @@ Large buckets that then still hold texts of more than one component are settled
 are cut into blocks of about BLOCK texts and BLOCK_BYTES of shingles (a component that fills blocks of
 its own, the smaller ones together), and every two blocks of a bucket that can hold texts of unlike
 components meet in a group of their own, where all common shingles are counted by a matrix product.
-So every two texts of 0.8 or more that share a bucket end up in one component, whatever its size.
+So every two texts of 0.8 or more that share a large bucket end up in one component, whatever its size.
 
 Defined cases: null, empty and blank texts are copies of each other. Rows may repeat doc_id and
 text. In a class the smallest doc_id stays (null is larger than any). Empty tables give none.
