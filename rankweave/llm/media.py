@@ -27,7 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .arrays import giving_back, slices
 from .storage import shared_dir
 
 WIDTH = 192
@@ -136,14 +138,14 @@ def store_media(docs: DataFrame, folder: str | None = None, shard_bytes: int = S
     """One row per document with the digest, place and header fields of its stored image."""
     root = folder or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     root = root if "://" in root else f"file://{root}"
-    id_name = docs.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_name]
+    kind = docs.schema["doc_id"].dataType
+    id_name, id_type = kind.simpleString(), to_arrow_type(kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(root)
         store.create_dir(path, recursive=True)
         shard = None
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 shard = shard or Shard(store, path)
                 payload, n_bytes = payload_of(text)
@@ -157,4 +159,4 @@ def store_media(docs: DataFrame, folder: str | None = None, shard_bytes: int = S
             yield _batch(list(shard.read()), id_type)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in zip(NAMES, [id_name, *_TYPES[1:]], strict=True))
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), schema)

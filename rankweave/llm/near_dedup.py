@@ -24,7 +24,8 @@ components meet in a group of their own, where all common shingles are counted b
 So every two texts of 0.8 or more that share a large bucket end up in one component, whatever its size.
 
 Defined cases: null, empty and blank texts are copies of each other. Rows may repeat doc_id and
-text. In a class the smallest doc_id stays (null is larger than any). Empty tables give none.
+text: one of them stays. Rows that share doc_id but not text are told apart. In a class the smallest
+doc_id stays (null is larger than any). Empty tables give none.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import RunHasher, blocks, mix, symbols
-from .storage import saved, sent_if_small
+from .arrays import blocks, giving_back, hash_runs, mix, slices, symbols
+from .storage import Scratch, saved, sent_if_small
 
 WORDS = 5
 K = 100
@@ -49,6 +50,7 @@ THRESHOLD = 0.8
 PLAUSIBLE = 60
 BLOCK, BLOCK_BYTES = 256, 4 << 20
 COLUMNS = 4096
+ROW = ["doc_id", "rk", "rk2", "uid"]
 
 _SEEDS = symbols(4096, 77)
 _STEPS = symbols(64, 99)
@@ -121,14 +123,13 @@ class Shingler:
     """Shingle hashes and digests of batches of texts."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.hasher = words, RunHasher(256, 3)
+        self.words = words
         self.steps = symbols(words, 11) | np.uint64(1)
-        space = np.zeros(256, bool)
-        space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-        self.space = space
+        self.space = np.zeros(256, bool)
+        self.space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bytes]]:
-        """(distinct shingle hashes, digest of the words) of each text."""
+        """(distinct shingle hashes, digest of the sequence of words) of each text."""
         raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
         for a, b in blocks(raw):
             sizes = np.array([len(t) + 1 for t in raw[a:b]])
@@ -136,13 +137,13 @@ class Shingler:
             blank = self.space[data]
             edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).astype(np.int8)))
             starts, ends = edge[0::2], edge[1::2]
-            words = self.hasher(data, starts, ends)
+            words = hash_runs(data[~blank], ends - starts, 3)
             bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
             with np.errstate(over="ignore"):
                 shingles = sum(words[i : len(words) - self.words + 1 + i] * self.steps[i] for i in range(self.words)) if len(words) >= self.words else words[:0]
             shingles = mix(shingles) if len(shingles) else shingles
-            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-                digest = hashlib.blake2b(words[i:j].tobytes(), digest_size=16).digest()
+            for t, i, j in zip(raw[a:b], bounds[:-1], bounds[1:], strict=True):
+                digest = hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest()
                 if j - i >= self.words:
                     yield np.unique(shingles[i : j - self.words + 1]), digest
                 else:
@@ -151,7 +152,7 @@ class Shingler:
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
-    for batch in batches:
+    for batch in slices(batches, "text"):
         sets = list(shingler(batch.column("text").to_pylist()))
         distinct = {d: s for s, d in sets}
         known: dict[bytes, bytes] = {}
@@ -160,13 +161,13 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signed = dart_signatures([distinct[d] for d in names[a:b]])
             known |= {d: row.tobytes() for d, row in zip(names[a:b], signed, strict=True)}
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("rk"), pa.array([d for _, d in sets], pa.binary()), pa.array([known[d] for _, d in sets], pa.binary())], ["doc_id", "rk", "node", "sig"]
+            [*(batch.column(c) for c in ROW), pa.array([d for _, d in sets], pa.binary()), pa.array([known[d] for _, d in sets], pa.binary())], [*ROW, "node", "sig"]
         )
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
-    for batch in batches:
+    for batch in slices(batches, "text"):
         sets = list(shingler(batch.column("text").to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([d for _, d in sets], pa.binary()), pa.array([s.tobytes() for s, _ in sets], pa.binary())], ["node", "shingles"])
 
@@ -189,17 +190,18 @@ def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["set_a", "set_b"])
 
 
-def row_key(docs: DataFrame) -> Column:
-    """doc_id, or a hash of the text where it is null."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
+def row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes that tell apart rows that differ in doc_id or text."""
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64("doc_id", text), F.xxhash64(F.lit(1), text, "doc_id")
 
 
-def _sets_of(ends: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets_of(s: Scratch, ends: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes in ends, a saved table: one pass over the texts."""
     ends = sent_if_small(ends)
-    keys = sent_if_small(saved(nodes.join(ends, "node", "left_semi").select("rk").distinct(), "keys"))
-    texts = docs.select(row_key(docs).alias("rk"), "text").join(keys, "rk", "left_semi").select("text")
-    return sent_if_small(saved(texts.mapInArrow(_sets, "node binary, shingles binary").join(ends, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets"))
+    keys = sent_if_small(s.saved(nodes.join(ends, "node", "left_semi").select("best.rk").distinct(), "keys"))
+    texts = docs.select(row_keys(docs)[0].alias("rk"), "text").join(keys, "rk", "left_semi").select("text")
+    return sent_if_small(s.saved(texts.mapInArrow(giving_back(_sets), "node binary, shingles binary").join(ends, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets"))
 
 
 def _schema(pairs: DataFrame) -> str:
@@ -209,26 +211,26 @@ def _schema(pairs: DataFrame) -> str:
 def _plausible(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) whose signatures agree often enough."""
     near = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
-    return near.select(*pairs.columns, "sig_a", "sig_b").mapInArrow(_agreeing, _schema(pairs))
+    return near.select(*pairs.columns, "sig_a", "sig_b").mapInArrow(giving_back(_agreeing), _schema(pairs))
 
 
 def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) whose shingle sets are similar enough."""
     both = near.join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b")
-    return both.select(*near.columns, "set_a", "set_b").mapInArrow(_similar, _schema(near))
+    return both.select(*near.columns, "set_a", "set_b").mapInArrow(giving_back(_similar), _schema(near))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(s: Scratch, links: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node of the component."""
-    both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    both = s.saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = s.saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         labels = sent_if_small(labels)
         other = labels.withColumnsRenamed({"node": "b", "label": "other"})
         seen = both.join(other, "b").groupBy("a").agg(F.min("other").alias("m")).withColumnRenamed("a", "node")
         step = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = saved(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        step = s.saved(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
         labels = step.select("node", "label")
         if step.where("old <> label").isEmpty():
             return labels
@@ -294,87 +296,89 @@ def _block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([names[x] for x, _ in links], pa.binary()), "b": pa.array([names[y] for _, y in links], pa.binary())})
 
 
-def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(s: Scratch, rest: DataFrame, sets: DataFrame) -> DataFrame:
     """rest (key, node, comp), sets (node, shingles) -> distinct (a, b): the unlike comps that hold
     similar texts of one bucket. Saved."""
-    sizes = sent_if_small(saved(sets.select("node", F.octet_length("shingles").cast("long").alias("size")), "sizes"))
+    sizes = sent_if_small(s.saved(sets.select("node", F.octet_length("shingles").cast("long").alias("size")), "sizes"))
     per = rest.join(sizes, "node").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     alone = (F.col("n") >= BLOCK) | (F.col("size") >= BLOCK_BYTES)
-    per = saved(per.withColumn("own", F.when(alone, F.col("comp")).otherwise(F.lit(b""))), "bucket-parts")
+    per = s.saved(per.withColumn("own", F.when(alone, F.col("comp")).otherwise(F.lit(b""))), "bucket-parts")
     pieces = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("long").alias("pieces")
-    parts = saved(per.groupBy("key", "own").agg(pieces), "pieces")
+    parts = s.saved(per.groupBy("key", "own").agg(pieces), "pieces")
     blocks = parts.select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("no"))
     two = blocks.withColumnsRenamed({"own": "own_b", "no": "no_b"})
     pairs = blocks.join(two, "key").where("(own < own_b OR (own = own_b AND own = X'' AND no <= no_b))")
     ends = F.array(F.struct("own", "no", F.lit(0).alias("side")), F.struct(F.col("own_b").alias("own"), F.col("no_b").alias("no"), F.lit(1).alias("side")))
     once = (F.col("own") == F.col("own_b")) & (F.col("no") == F.col("no_b"))
     met = pairs.select("key", F.xxhash64("key", "own", "no", "own_b", "no_b").alias("pair"), F.explode(F.when(once, F.slice(ends, 1, 1)).otherwise(ends)).alias("end"))
-    met = sent_if_small(saved(met.select("key", "pair", "end.*"), "block-pairs"))
-    place = sent_if_small(saved(per.select("key", "comp", "own").join(parts, ["key", "own"]), "places"))
+    met = sent_if_small(s.saved(met.select("key", "pair", "end.*"), "block-pairs"))
+    place = sent_if_small(s.saved(per.select("key", "comp", "own").join(parts, ["key", "own"]), "places"))
     rows = rest.join(place, ["key", "comp"]).withColumn("no", F.pmod(F.xxhash64("node"), F.col("pieces")))
     rows = rows.join(met, ["key", "own", "no"]).select("pair", "side", "node", "comp").join(sets, "node").select("pair", "side", "comp", "shingles")
-    return saved(rows.groupBy("pair").applyInArrow(_block_links, "a binary, b binary").distinct(), "across")
+    return s.saved(rows.groupBy("pair").applyInArrow(_block_links, "a binary, b binary").distinct(), "across")
 
 
-def _joined(labels: DataFrame, across: DataFrame) -> DataFrame:
+def _joined(s: Scratch, labels: DataFrame, across: DataFrame) -> DataFrame:
     """labels after links (a, b) between the labels of components; only their small graph is labelled."""
-    merged = components(across)
+    merged = components(s, across)
     onto = merged.select(F.col("node").alias("label"), F.col("label").alias("up"))
     old = labels.join(onto, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-    return saved(old.union(merged.join(labels, "node", "left_anti").select("node", "label")), "labels")
+    return s.saved(old.union(merged.join(labels, "node", "left_anti").select("node", "label")), "labels")
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, nodes, labels): rows (doc_id, rk, node), nodes (node, rk, copies, sig), labels of linked nodes."""
-    slim = docs.select("doc_id", row_key(docs).alias("rk"), "text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = saved(slim.mapInArrow(_sign, f"doc_id {id_type}, rk long, node binary, sig binary"), "signatures")
-    nodes = saved(rows.groupBy("node").agg(F.min("rk").alias("rk"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
+def _labels(s: Scratch, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, label) of the linked nodes."""
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * 4 * ROWS + 1, 4 * ROWS)) for i in range(BANDS)])
     members = nodes.select(F.explode(keys).alias("key"), "node")
-    sig = nodes.select("node", "sig")
-    near = saved(_plausible(saved(_pairs(members), "pairs"), sig), "plausible")
-    ends = saved(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "ends")
-    labels = components(saved(_verified(near, _sets_of(ends, nodes, docs)), "links"))
+    near = s.saved(_plausible(s.saved(_pairs(members), "pairs"), nodes.select("node", "sig")), "plausible")
+    ends = s.saved(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "ends")
+    labels = components(s, s.saved(_verified(near, _sets_of(s, ends, nodes, docs)), "links"))
     large = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {SMALL}").select("key")
     known = members.join(large, "key", "left_semi").join(sent_if_small(labels).withColumnRenamed("label", "comp"), "node", "left")
-    known = saved(known.select("key", "node", F.coalesce("comp", "node").alias("comp")), "members")
+    known = s.saved(known.select("key", "node", F.coalesce("comp", "node").alias("comp")), "members")
     mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    rest = saved(known.join(mixed.select("key"), "key", "left_semi"), "rest")
+    rest = s.saved(known.join(mixed.select("key"), "key", "left_semi"), "rest")
     if not rest.isEmpty():
-        some = saved(rest.select("node").distinct(), "texts")
-        across = _across(rest, _sets_of(some, nodes, docs))
+        some = s.saved(rest.select("node").distinct(), "texts")
+        across = _across(s, rest, _sets_of(s, some, nodes, docs))
         if not across.isEmpty():
-            labels = _joined(labels, across)
-    return rows, nodes, labels
+            labels = _joined(s, labels, across)
+    return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of the class), class_size, kept."""
-    rows, per_node = _with_class(docs)
-    first = Window.partitionBy("node", "rk").orderBy(F.lit(0))
-    out = rows.select("doc_id", "rk", "node").join(per_node, "node").withColumn("turn", F.row_number().over(first))
-    return out.select("doc_id", "class_id", "class_size", ((F.col("rk") == F.col("class_rk")) & (F.col("turn") == 1) & F.col("holds")).alias("kept"))
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, per_node), both saved: rows (doc_id, rk, rk2, uid, node), per_node (node, class_size, best:
+    the row of the class that stays). uid is a number of the row that the saved table gives it."""
+    with Scratch(docs.sparkSession, "near") as s:
+        rk, rk2 = row_keys(docs)
+        slim = docs.select("doc_id", rk.alias("rk"), rk2.alias("rk2"), F.monotonically_increasing_id().alias("uid"), "text")
+        id_type = docs.schema["doc_id"].dataType.simpleString()
+        rows = s.saved(slim.mapInArrow(giving_back(_sign), f"doc_id {id_type}, rk long, rk2 long, uid long, node binary, sig binary"), "signatures", keep=True)
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *ROW)).alias("best")
+        nodes = s.saved(rows.groupBy("node").agg(best, F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
+        known = nodes.drop("sig").join(sent_if_small(_labels(s, nodes, docs)), "node", "left").withColumn("comp", F.coalesce("label", "node"))
+        classes = known.groupBy("comp").agg(F.min("best").alias("best"), F.sum("copies").alias("class_size"))
+        return rows.drop("sig"), s.saved(known.select("node", "comp").join(classes, "comp").drop("comp"), "classes", keep=True)
 
 
-def _with_class(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows, nodes, labels = _classes(docs)
-    nodes = nodes.drop("sig").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
-    ids = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = nodes.join(ids, "node")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "node"))
-    classes = nodes.groupBy("comp").agg(best.alias("best"), F.sum("copies").alias("class_size"))
-    rk = F.coalesce(F.col("best.doc_id").cast("long"), F.col("best.rk"))
-    per_node = nodes.join(classes, "comp").select("node", F.col("best.doc_id").alias("class_id"), rk.alias("class_rk"), "class_size", (F.col("node") == F.col("best.node")).alias("holds"))
-    return rows, per_node
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id of the class), class_size, kept."""
+    rows, per_node = _classes(docs)
+    out = rows.join(per_node, "node")
+    return out.select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("best.uid")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one for each class, with all columns. Rows that share doc_id but
-    not text are kept if any of them is the one that stays."""
-    rows, per_node = _with_class(docs)
-    stay = rows.select("rk", "node").join(per_node.where("holds"), "node").where("rk = class_rk")
-    stay = stay.groupBy(F.col("rk").alias("__rw_rk")).agg(F.count(F.lit(1)).alias("__rw_times"))
-    out = docs.withColumn("__rw_rk", row_key(docs)).join(stay.hint("shuffle_hash"), "__rw_rk")
-    more = out.where("__rw_times > 1").dropDuplicates(["__rw_rk", "text"])
-    return out.where("__rw_times = 1").unionByName(more).select(*docs.columns)
+    """The rows of docs that stay: one for each class, with all columns. Of rows that repeat both doc_id
+    and text any one stays."""
+    rows, per_node = _classes(docs)
+    reps = rows.join(per_node.select("node", "best"), "node").where("rk = best.rk AND rk2 = best.rk2")
+    reps = reps.groupBy(F.col("rk").alias("__rw_1"), F.col("rk2").alias("__rw_2")).agg(F.count(F.lit(1)).alias("__rw_times"))
+    reps = saved(reps, "near-stay")
+    rk, rk2 = row_keys(docs)
+    rows = docs.withColumns({"__rw_1": rk, "__rw_2": rk2})
+    out = rows.join(reps.where("__rw_times = 1"), ["__rw_1", "__rw_2"]).select(*docs.columns)
+    more = reps.where("__rw_times > 1")
+    if not more.isEmpty():
+        out = out.unionByName(rows.join(more, ["__rw_1", "__rw_2"]).dropDuplicates(["__rw_1", "__rw_2"]).select(*docs.columns))
+    return out

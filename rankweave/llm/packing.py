@@ -8,9 +8,10 @@ the end of a partition are leftovers; they are saved with everything else and me
 a bounded number of windows by best fit, largest piece first, without cutting.
 
 Tokenising: texts are split into the words of the byte-level BPE by array operations, and only
-words not met lately are encoded by the tokenizer. Only code points below 0x250 are split that
-way; a text with any other, or with the string of an added token such as <|endoftext|> (which the
-tokenizer turns into the id of that token), goes through the tokenizer as a whole.
+words not met lately are encoded by the tokenizer. Texts above SEGMENT code points are cut first at
+places where a word begins in any case. Segments with a code point beyond the basic plane, with one
+that not all versions of Unicode class alike, or with the string of an added token such as
+<|endoftext|> (which the tokenizer turns into the id of that token) go through the tokenizer whole.
 
 Defined cases: a null or empty text is the single id 0. Repeated rows are packed one by one. An
 empty table gives no pieces. The result depends on the order of the input rows only.
@@ -18,10 +19,12 @@ empty table gives no pieces. The result depends on the order of the input rows o
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,15 +33,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .arrays import RunHasher, blocks
+from .arrays import giving_back, hash_runs, slices
 from .storage import saved
 
 SIZE = 1024
 OPEN = 32
 SLACK = 8
 MERGE = 64
-_LIMIT = 0x250
+BLOCK, SEGMENT = 500_000, 250_000
+# The code points of the basic plane that are white space to the tokenizer.
+WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SEAM = re.compile(r"[A-Za-z0-9](?=[ \n])")
 _SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int"
 
 
@@ -48,10 +55,39 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(1)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point of the basic plane: 1 letter, 2 digit, 3 white space, 0 other; and whether all
+    versions of Unicode since 3.2 agree on it (below 0x250 they do), so that every library splits alike."""
+    now = [unicodedata.category(chr(c)) for c in range(1 << 16)]
+    old = [unicodedata.ucd_3_2_0.category(chr(c)) for c in range(1 << 16)]
+    kind = np.array([1 if k[0] == "L" else 2 if k[0] == "N" else 0 for k in now], np.int8)
+    kind[WHITE_SPACE] = 3
+    settled = np.array([c < 0x250 or (a == b and a not in ("Cn", "Cs", "Co")) for c, (a, b) in enumerate(zip(now, old, strict=True))])
+    return kind, settled
+
+
+def segments(text: str, limit: int = SEGMENT) -> Iterator[str]:
+    """The text cut before single blanks or line ends that follow a letter or digit, where a word begins
+    whatever comes before or after. A stretch without such a place stays whole."""
+    at = 0
+    while len(text) - at > limit:
+        cut = _SEAM.search(text, at + limit - 1)
+        if not cut:
+            break
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
 class BatchTokenizer:
-    """Ids of many texts at once, equal to those of tokenizers.Tokenizer.encode."""
+    """Ids of many texts at once, equal to those of tokenizers.Tokenizer.encode.
+
+    Texts are split by array operations; equal words are found by hash and then compared symbol by
+    symbol, and a text in which two words share a hash goes through the library. At most `keep` words
+    are remembered with their ids."""
 
-    def __init__(self, path: str, keep: int = 2_000_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
@@ -62,63 +98,83 @@ class BatchTokenizer:
         self.alphabet = {c: c if c in set(letters) else next(others) for c in range(256)}
         self.keep = keep
         self._forget()
-        self.hasher = RunHasher(_LIMIT, 7)
-        kinds = [unicodedata.category(chr(c))[0] for c in range(_LIMIT)]
-        self.kind = np.array([1 if k == "L" else 2 if k == "N" else 0 for k in kinds], np.int8)
-        self.kind[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0xA0]] = 3
+        self.kind, self.settled = _kinds()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        fast, raw = [], []
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, int, str, np.ndarray]] = []  # text, place in it, segment, code points
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if held:
+                for (i, at, _, _), ids in zip(held, self._block("".join(h[2] for h in held), [h[3] for h in held]), strict=True):
+                    parts[i][at] = ids
+            held.clear()
+            size = 0
+
         for i, t in enumerate(texts):
-            units = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-            if len(units) == 0:
-                out[i] = np.zeros(0, np.uint32)
-            elif int(units.max()) < _LIMIT and not any(x in t for x in self.added):
-                fast.append(i)
-                raw.append(units)
-            else:
-                out[i] = np.array(self.slow.encode(t, add_special_tokens=False).ids, np.uint32)
-        for a, b in blocks(raw, 2_000_000):
-            for i, ids in zip(fast[a:b], self._block("".join(texts[j] for j in fast[a:b]), raw[a:b]), strict=True):
-                out[i] = ids
-        return out
+            for segment in segments(t) if t else ():
+                units = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32)
+                if int(units.max()) < 1 << 16 and self.settled[units].all() and not any(x in segment for x in self.added):
+                    held.append((i, len(parts[i]), segment, units))
+                    parts[i].append(units)
+                    size += len(units)
+                    if size >= BLOCK:
+                        flush()
+                else:
+                    parts[i].append(self._library(segment))
+        flush()
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, np.uint32) for p in parts]
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _hash(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return hash_runs(data, lengths, 7)
 
     def _block(self, text: str, raw: list[np.ndarray]) -> list[np.ndarray]:
         data = np.concatenate(raw)
         bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
         starts = self._word_starts(data, bounds)
-        ends = np.append(starts[1:], len(data))
-        codes, names = pd.factorize(self.hasher(data, starts, ends))
+        lengths = np.diff(starts, append=len(data))
+        codes, names = pd.factorize(self._hash(data, lengths))
         first = np.empty(len(names), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        at, sizes = self._look_up(text, names, starts[first], ends[first])
+        other = starts[first][codes]  # where the first word of the same hash begins
+        same = lengths[first][codes] == lengths
+        twin = np.minimum(np.repeat(other - starts, lengths) + np.arange(len(data)), len(data) - 1)
+        same &= np.logical_and.reduceat(data[twin] == data, starts)
+        at, sizes = self._look_up([text[i : i + n] for i, n in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)])
         each = sizes[codes]
         total = np.concatenate(([0], np.cumsum(each)))
         index = np.repeat(at[codes] - total[:-1], each) + np.arange(total[-1])
         flat = self.flat[index]
         cuts = total[np.searchsorted(starts, bounds)]
-        return [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.unique(np.searchsorted(bounds, starts[~same], side="right") - 1).tolist():
+            out[i] = self._library(text[bounds[i] : bounds[i + 1]])
+        return out
 
     def _forget(self) -> None:
-        """Words met so far: sorted hashes, and where the ids of each lie in one flat array."""
-        self.names, self.at, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Words met so far, and where the ids of each lie in one flat array."""
+        self.words: dict[str, int] = {}
+        self.at, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _look_up(self, text: str, names: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.names) + len(names) > self.keep:
+    def _look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) + len(words) > self.keep:
             self._forget()
-        fresh = ~np.isin(names, self.names, assume_unique=True)
-        if fresh.any():
+        known = self.words
+        fresh = [w for w in words if w not in known]
+        if fresh:
             encode, alphabet = self.slow.model.tokenize, self.alphabet
-            words = [text[i:j].encode().decode("latin-1").translate(alphabet) for i, j in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
-            ids = [[t.id for t in encode(w)] for w in words]
+            ids = [[t.id for t in encode(w.encode().decode("latin-1").translate(alphabet))] for w in fresh]
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            at = len(self.flat) + np.cumsum(sizes) - sizes
+            self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
             self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
-            self.names = np.concatenate((self.names, names[fresh]))
-            order = np.argsort(self.names, kind="stable")
-            self.names, self.at, self.sizes = self.names[order], np.concatenate((self.at, at))[order], np.concatenate((self.sizes, sizes))[order]
-        place = np.searchsorted(self.names, names)
+        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         return self.at[place], self.sizes[place]
 
     def _word_starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -195,7 +251,7 @@ def _pack_partition(path: str, size: int, open_windows: int, slack: int, id_type
             out.clear()
             return batch
 
-        for batch in batches:
+        for batch in slices(batches, "text"):
             names = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for name, ids in zip(names, tokenizer(texts), strict=True):
@@ -223,7 +279,7 @@ def _pack_partition(path: str, size: int, open_windows: int, slack: int, id_type
             emit(*windows.pop(), True)
         yield flush()
 
-    return run
+    return giving_back(run)
 
 
 def _merge(size: int):
@@ -243,8 +299,8 @@ def _merge(size: int):
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, open_windows: int = OPEN, slack: int = SLACK) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    kind = docs.schema["doc_id"].dataType
+    id_type, arrow = kind.simpleString(), to_arrow_type(kind)
     run = _pack_partition(path or default_tokenizer(), size, open_windows, slack, arrow)
     pieces = saved(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, {_SCHEMA}"), "pieces")
     left = pieces.where("part >= 0").withColumn("group", F.expr(f"part div {MERGE}"))

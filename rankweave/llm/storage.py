@@ -12,14 +12,23 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir. Where none is set, a session in one process (tests) gets
+    a temporary one; on a cluster, whose machines do not share such a folder, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rankweave-")
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: the lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -27,6 +36,33 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Saved tables that are deleted at the end of a with block, but for those that were kept.
+
+    with Scratch(spark, "near") as s:
+        a = s.saved(df, "a")             # goes at the end
+        b = s.saved(a.join(...), "b", keep=True)   # stays, for the frame that is returned
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def saved(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}-kept/{self.n}-{name}" if keep else f"{self.root}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        delete(self.spark, self.root)
+        if error[0]:
+            delete(self.spark, f"{self.root}-kept")
+
+
 def sent_if_small(df: DataFrame) -> DataFrame:
     """A saved table, marked for broadcast if its values measure at most BROADCAST_BYTES; else as it
     is, for a join by shuffle. Columns are strings, binaries or at most 8 bytes wide."""
