@@ -5,13 +5,16 @@ Learned filters of WIDTH bytes slide over each chunk in steps of STEP; the large
 filter in a chunk, cut at zero, is the chunk's feature (max pooling). The means and the maxima of
 the chunk features over the document go through one logistic unit to a probability.
 
+The windows of a chunk are those that begin in it; the last one reaches into what follows.
 A filter is byte embedding times weights, so scoring looks up one table of WIDTH x 256 x FILTERS.
-The network is fitted on the driver with Adam on at most SAMPLE labelled rows (the smallest hashes
-of doc_id) and at most FIT_CHUNKS chunks of each; scoring reads every byte of every text.
+The network is fitted on the driver with Adam on a bounded sample of labelled rows: of the SAMPLE
+smallest hashes of doc_id, those that fit, one after the other, into SAMPLE_BYTES of text. Their texts
+are read whole, as all texts are in scoring. A long text is scored PIECE bytes at a time.
 
 Defined cases: a null text is empty; an empty text is one chunk of padding and gets a score like
-any other. Labels that are null are ignored; several labels of a document count as the largest.
-Without labels, or with one class only, the score is the share of label 1 (0.5 without labels).
+any other. Labels that are null are ignored; several labels of a document count as the largest, of
+several texts of a labelled document the smallest is fitted on. Without labels, or with one class
+only, the score is the share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
@@ -23,10 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .arrays import giving_back, slices
+from .storage import Scratch
 
 CHUNK, HOP, SEGMENT = 512, 384, 128
 WIDTH, STEP, FILTERS, DIMENSION = 8, 4, 16, 6
-SAMPLE, FIT_CHUNKS, EPOCHS, BATCH = 2400, 8, 12, 48
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH = 2400, 16 << 20, 12, 48
+PIECE = SEGMENT << 11
+REACH = WIDTH - STEP  # how far the last window of a chunk reaches past it
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -63,13 +72,17 @@ class Network:
         return (self.embedding @ self.weights).astype(np.float32)
 
 
-def _responses(table: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Filter responses at every STEP of a padded byte array (the last windows reach past its end into zeros)."""
+def _pooled(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The largest response of each filter in each SEGMENT of a padded byte array (the last windows reach past its end into zeros)."""
     longer = np.concatenate((data, np.zeros(WIDTH, np.uint8)))
-    total = table[0][longer[0 : len(data) : STEP]]
-    for p in range(1, WIDTH):
-        total += table[p][longer[p : p + len(data) : STEP]]
-    return total
+    out = np.empty((len(data) // SEGMENT, FILTERS), np.float32)
+    for a in range(0, len(data), PIECE):
+        b = min(a + PIECE, len(data))
+        total = table[0][longer[a:b:STEP]]
+        for p in range(1, WIDTH):
+            total += table[p][longer[a + p : b + p : STEP]]
+        out[a // SEGMENT : b // SEGMENT] = total.reshape(-1, SEGMENT // STEP, FILTERS).max(axis=1)
+    return out
 
 
 def score_texts(net: Network, texts: list[str | None], block: int = 1 << 20) -> np.ndarray:
@@ -81,7 +94,7 @@ def score_texts(net: Network, texts: list[str | None], block: int = 1 << 20) ->
     def flush(upto: int) -> None:
         # Documents lie end to end; the windows on a seam reach into the next one, so each is followed by padding.
         spaced = np.concatenate([x for d in held for x in (d, np.zeros(SEGMENT, np.uint8))])
-        pooled = _responses(table, spaced).reshape(-1, SEGMENT // STEP, FILTERS).max(axis=1)
+        pooled = _pooled(table, spaced)
         at = 0
         for i, d in zip(range(first, upto), held, strict=True):
             n = len(d) // SEGMENT
@@ -119,11 +132,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPOCH
         return net
     data = []
     for t in texts:
-        whole = _padded(t)
-        starts = np.arange(0, len(whole) - CHUNK + 1, HOP)
-        if len(starts) > FIT_CHUNKS:
-            starts = np.sort(rng.choice(starts, FIT_CHUNKS, replace=False))
-        data.append(np.stack([whole[s : s + CHUNK] for s in starts]))
+        whole = np.concatenate((_padded(t), np.zeros(REACH, np.uint8)))
+        data.append(np.lib.stride_tricks.sliding_window_view(whole, CHUNK + REACH)[::HOP])
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
     for epoch in range(epochs):
@@ -139,13 +149,24 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPOCH
     return net
 
 
+def _winners(table: np.ndarray, chunks: np.ndarray, piece: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Place and value of the largest response of each filter in each chunk."""
+    where, top = np.empty((len(chunks), FILTERS), np.int64), np.empty((len(chunks), FILTERS))
+    for a in range(0, len(chunks), piece):
+        part = chunks[a : a + piece]
+        total = table[0][part[:, 0:CHUNK:STEP]]
+        for p in range(1, WIDTH):
+            total += table[p][part[:, p : p + CHUNK : STEP]]
+        where[a : a + piece] = total.argmax(axis=1)
+        top[a : a + piece] = total.max(axis=1)
+    return where, top
+
+
 def _gradient(net: Network, docs: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
     counts = np.array([len(d) for d in docs])
     chunks, owner = np.concatenate(docs), np.repeat(np.arange(len(docs)), counts)
-    response = _responses(net.table(), chunks.reshape(-1)).reshape(len(chunks), CHUNK // STEP, FILTERS)
-    response = response[:, : -(WIDTH // STEP - 1)] if WIDTH > STEP else response  # windows inside the chunk
-    where = response.argmax(axis=1)
-    top = np.take_along_axis(response, where[:, None], axis=1)[:, 0] + net.bias
+    where, top = _winners(net.table(), chunks)
+    top = top + net.bias
     pooled = np.maximum(top, 0)
     first = np.cumsum(counts) - counts
     mean = np.add.reduceat(pooled, first) / counts[:, None]
@@ -160,19 +181,27 @@ def _gradient(net: Network, docs: list[np.ndarray], labels: np.ndarray) -> list[
     d_table = np.zeros((WIDTH, 256, FILTERS))
     rows, columns = np.arange(len(chunks))[:, None], np.broadcast_to(np.arange(FILTERS), g.shape)
     for q in range(WIDTH):
-        np.add.at(d_table[q], (chunks[rows, where * STEP + q], columns), g)
+        cell = chunks[rows, where * STEP + q].astype(np.int64) * FILTERS + columns
+        d_table[q] = np.bincount(cell.ravel(), g.ravel(), 256 * FILTERS).reshape(256, FILTERS)
     d_weights = np.einsum("bd,wbf->wdf", net.embedding, d_table)
     d_embedding = np.einsum("wbf,wdf->bd", d_table, net.weights)
     return [d_embedding, d_weights, g.sum(axis=0), features.T @ error + 1e-4 * net.out, np.array([error.sum()])]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `most` documents outside the held-out fold."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most `most` documents and `most_bytes` bytes outside the held-out fold."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(fold(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted(rows.limit(most).collect(), key=lambda r: r["doc_id"])
+    with Scratch(docs.sparkSession, "sample") as s:
+        rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
+        rows = s.saved(rows, "rows")
+        left, chosen = most_bytes, []
+        for r in rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+            if r["size"] <= left:
+                left -= r["size"]
+                chosen.append(r["doc_id"])
+        rows = sorted(rows.where(F.col("doc_id").isin(chosen)).collect(), key=lambda r: r["doc_id"])
     return [r["text"] or "" for r in rows], np.array([float(r["quality"] > 0) for r in rows])
 
 
@@ -181,13 +210,11 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     columns = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             scores = score_texts(net, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*columns, "__rw_score"])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__rw_score", T.DoubleType())]))
+    return docs.mapInArrow(giving_back(run), T.StructType([*docs.schema.fields, T.StructField("__rw_score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
