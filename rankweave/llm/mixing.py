@@ -10,7 +10,7 @@ The cumulative sums run in two levels, within (source, hash bucket) and over the
 source, so a source with a third of all rows is spread over many tasks. The cut needs no sort of
 everything: each source is within its target up to time 1, so only sendings between 1 and the last
 one that straddles 1 are summed by range of time, and only the range that holds the cut is ordered.
-The driver sees one row per source.
+The driver sees totals only.
 
 Defined cases: a null text has no tokens, an empty document is taken zero times, a null source is
 one source and the last in order. Repeated rows are documents of their own. Reruns agree.
@@ -18,18 +18,20 @@ one source and the last in order. Repeated rows are documents of their own. Reru
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import saved
+from .storage import Scratch, saved, sent_if_small
 
 WORD = r"[^\x20\x09-\x0D]+"
 REPEATS = 3
 BUCKETS = 1024
+BUCKET_ROWS = 1_000_000
 RANGES = 4096
+RUN = 64
 WEIGHTS = (1, 2, 3)
 
 
@@ -60,31 +62,46 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
 
 
-def mix(docs: DataFrame, seed: int = 17, repeats: int = REPEATS, weights: Sequence[float] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row, with the columns of docs besides."""
-    spark = docs.sparkSession
-    slim = docs.select("doc_id", _source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"))
-    slim = slim.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("b", F.pmod("h", F.lit(BUCKETS)).cast("int"))
-    slim = saved(slim, "sizes")
-    parts = slim.groupBy("key", "b").agg(F.sum("size").alias("s"))
-    by_source = {r["key"]: r["s"] for r in parts.groupBy("key").agg(F.sum("s").alias("s")).collect()}
-    keys = sorted(by_source, key=lambda k: k.encode())
-    sizes = [by_source[k] for k in keys]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(keys))], repeats)
-    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    table = spark.createDataFrame(list(zip(keys, sizes, goal, strict=True)), schema)
-
-    parts = parts.withColumn("before", F.sum("s").over(Window.partitionBy("key").orderBy("b")) - F.col("s")).drop("s")
-    parts = parts.join(table, "key")
-    run = Window.partitionBy("key", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queue = slim.join(parts, ["key", "b"]).withColumn("sent", F.col("before") + F.sum("size").over(run))
-    queue = queue.where("size > 0").select("doc_id", "key", "size", "source_size", "target", "sent")
-    queue = saved(queue, "queue")
-    cut = _cut(queue, float(sum(goal)), repeats)
+def _sources(s: Scratch, sums: DataFrame, weights: Sequence[float], repeats: int) -> tuple[DataFrame, float]:
+    """(key, source_size, target) by targets(), whatever the number of sources, and the total of the targets."""
+    place = F.row_number().over(Window.orderBy("key")) - 1  # one row a source
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    rows = s.saved(sums.select("key", F.col("s").alias("source_size"), weight.alias("w")), "sources")
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    full, left, free, seen = F.col("source_size") <= 0, float(total), 0.0, -1
+    while True:  # the shares of the free sources only grow, so what was full stays full
+        r = rows.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("source_size"))).alias("s"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        left, free = float(total - repeats * (r["s"] or 0)), r["w"] or 0.0
+        if r["n"] == seen or not free:
+            break
+        seen, full = r["n"], (F.col("source_size") <= 0) | (F.lit(left) * F.col("w") / F.lit(free) > F.lit(repeats) * F.col("source_size"))
+    target = F.when(full, F.col("source_size") * float(repeats)).otherwise(F.lit(left) * F.col("w") / F.lit(free or 1.0))
+    out = s.saved(rows.select("key", "source_size", target.alias("target")), "targets", keep=True)
+    return sent_if_small(out), float(out.agg(F.sum("target")).first()[0] or 0.0)
+
+
+def mix(docs: DataFrame, seed: int = 17, repeats: int = REPEATS, weights: Sequence[float] = WEIGHTS, carry: Mapping[str, Column] | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row, with the columns of `carry` besides."""
+    carry = dict(carry or {})
+    with Scratch(docs.sparkSession, "mix") as s:
+        slim = docs.select("doc_id", _source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *[c.alias(n) for n, c in carry.items()])
+        slim = s.saved(slim, "sizes", keep=True)
+        slim = slim.withColumn("b", F.pmod("h", F.lit(max(BUCKETS, slim.count() // BUCKET_ROWS))).cast("int"))
+        parts = s.saved(slim.groupBy("key", "b").agg(F.sum("size").alias("s")), "parts")
+        table, budget = _sources(s, parts.groupBy("key").agg(F.sum("s").alias("s")), weights, repeats)
+
+        parts = parts.withColumn("before", F.sum("s").over(Window.partitionBy("key").orderBy("b")) - F.col("s")).drop("s")
+        parts = parts.join(table, "key")
+        run = Window.partitionBy("key", "b").orderBy("h", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
+        queue = slim.join(parts, ["key", "b"]).withColumn("sent", F.col("before") + F.sum("size").over(run))
+        queue = queue.where("size > 0").select("doc_id", "key", "size", "source_size", "target", "sent", *carry)
+        queue = s.saved(queue, "queue", keep=True)
+        cut = _cut(queue, budget, repeats)
     taken = sum((F.when(_finish(e) <= F.lit(cut), F.col("size")).otherwise(F.lit(0)) for e in range(repeats)), F.lit(0)).cast("long")
-    empty = slim.where("size = 0").join(F.broadcast(table) if len(keys) <= 100_000 else table, "key")
-    columns = ["doc_id", "size", "source_size", "target"]
-    return queue.select(*columns, taken.alias("taken")).unionByName(empty.select(*columns, F.lit(0).cast("long").alias("taken")))
+    empty = slim.where("size = 0").join(table, "key")
+    columns = ["doc_id", "size", "source_size", "target", *carry]
+    out = queue.select(*columns, taken.alias("taken")).unionByName(empty.select(*columns, F.lit(0).cast("long").alias("taken")))
+    return out.select("doc_id", "size", "source_size", "target", "taken", *carry)
 
 
 def _finish(sending: int) -> Column:
@@ -121,11 +138,20 @@ def _cut(queue: DataFrame, budget: float, repeats: int) -> float:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. doc_id and text decide; nothing else is read."""
-    plan = mix(docs, **options).where("taken > 0").select("doc_id", F.col("size").alias("__rw_size"), F.expr("taken div size").cast("int").alias("__rw_times"))
-    plan = plan.groupBy("doc_id", "__rw_size").agg(F.max("__rw_times").alias("__rw_times"))
-    rows = docs.withColumn("__rw_size", n_words(F.col("text"))).withColumnRenamed("doc_id", "__rw_id")
-    plan = plan.withColumnsRenamed({"doc_id": "__rw_id2", "__rw_size": "__rw_size2"}).hint("shuffle_hash")
-    rows = rows.join(plan, F.col("__rw_id").eqNullSafe(F.col("__rw_id2")) & (F.col("__rw_size") == F.col("__rw_size2")))
-    rows = rows.withColumn("__rw_n", F.explode(F.sequence(F.lit(1), F.col("__rw_times")))).withColumnRenamed("__rw_id", "doc_id")
-    return rows.select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it. Rows that are equal in all columns (maps
+    aside) stand for each other: what the mix takes of them together comes as copies of one."""
+    columns = [c for c, kind in docs.dtypes if "map<" not in kind]
+    keys = {"__rw_1": F.xxhash64(*columns), "__rw_2": F.xxhash64(F.lit(1), *reversed(columns))}
+    plan = mix(docs, **options, carry=keys).withColumn("times", F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0))
+    plan = plan.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rw_rows"), F.sum("times").alias("__rw_times"))
+    plan = saved(plan.where("__rw_times > 0"), "plan")
+    rows = docs.withColumns(keys)
+    once = rows.join(plan.where("__rw_rows = 1"), [*keys])
+    out = once.withColumn("__rw_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rw_times")))).select(*docs.columns)
+    more = plan.where("__rw_rows > 1")
+    if not more.isEmpty():  # the copies of one row are dealt in runs, so that no task makes them all
+        one = rows.join(more, [*keys]).dropDuplicates([*keys])
+        one = one.withColumn("__rw_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__rw_times - 1) div {RUN}")))).repartition(*keys, "__rw_run")
+        n = F.least(F.lit(RUN), F.col("__rw_times") - F.col("__rw_run") * RUN)
+        out = out.unionByName(one.withColumn("__rw_n", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long")))).select(*docs.columns))
+    return out
