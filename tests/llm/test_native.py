@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankweave.llm import exact_dedup, mixing, secrets, sharding, url_filter
 
@@ -102,14 +104,56 @@ def test_mixing(odd, odd_rows, empty):
 
 
 def test_mixing_is_a_prefix_in_virtual_time(spark):
-    rows = [(i, "w " * (1 + i % 7), "x", f"s{i % 5}", 0, 0, "", "") for i in range(400)]
+    """A queue of all sendings, sorted by virtual finish time and cut at the budget."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([0, 1, 2, 5, 9, 40]), "x", rng.choice(["a", "b", "c", "d", None]), 0, 0, "", "") for i in range(300)]
+    rows += [(1000 + i, "w " * 3, "x", "tiny", 0, 0, "", "") for i in range(2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, digest string, b string")
-    got = mixing.mix(df).collect()
     goal = brute_mix(rows)
-    for s in goal:
-        took = sum(r.taken for r in got if f"s{r.doc_id % 5}" == s)
-        assert abs(took - goal[s][1]) <= 7
-    assert sum(t for _, t in goal.values()) - 7 <= sum(r.taken for r in got) <= sum(t for _, t in goal.values())
+    order = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    sendings = []
+    for source, (total, target) in goal.items():
+        own = sorted((r for r in rows if r[3] == source), key=lambda r: (order[r[0]] % 1024, order[r[0]]))
+        sent = 0
+        for again in range(3):
+            for r in own:
+                n = len(r[1].split())
+                sent += n
+                if n:
+                    sendings.append((sent / target, r[0], n))
+        assert sent == 3 * total
+    budget, taken, at = sum(t for _, t in goal.values()), defaultdict(int), 0
+    sendings.sort()
+    while at < len(sendings):
+        same = [s for s in sendings[at:] if s[0] == sendings[at][0]]
+        if sum(n for _, _, n in same) > budget + 1e-6:
+            break
+        for _, i, n in same:
+            taken[i] += n
+            budget -= n
+        at += len(same)
+    got = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
+    assert got == {r[0]: taken[r[0]] for r in rows}
+    for s, (_, target) in goal.items():
+        assert abs(sum(got[r[0]] for r in rows if r[3] == s) - target) <= 40
+
+
+def test_mixed_documents_come_as_often_as_the_mix_takes_them(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 2)
+    rows = [(1, "one two", "a", 5)] * 5 + [(1, "six seven", "a", 5), (2, "one two", "a", 5), (None, None, "b", None)] + [(None, "x y z", None, 1)] * 2 + [(i, "w " * 20, "b", i) for i in range(10, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    plan, out = mixing.mix(df).collect(), mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    want, got = Counter(), Counter((r.doc_id, mixing_words(r.text)) for r in out.collect())
+    for r in plan:
+        if r.taken:
+            want[r.doc_id, r.size] += r.taken // r.size
+    assert got == want and want[1, 2] > 6
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def mixing_words(text):
+    return len(re.findall(mixing.WORD, text or ""))
 
 
 def test_targets_reshare():

@@ -5,9 +5,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from rankweave.llm import html_text, media, near_dedup, packing, quality
+from pyspark.sql import functions as F
+
+from rankweave.llm import arrays, html_text, media, near_dedup, packing, quality
 
 
 def brute_shingles(text):
@@ -87,6 +90,50 @@ def test_pairs_inside_a_large_family_of_templates(spark):
     assert partition_of((r.doc_id, r.class_id) for r in got) == partition_of(zip((r[0] for r in rows), brute_classes(rows), strict=True))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_star_of_a_template_is_one_class(spark, seed):
+    """300 texts of similarity 0.878 to one template and under 0.8 to each other: the template links them all."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(6000)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):
+        words = list(base)
+        for at in rng.sample(range(1199), 78):
+            words[5 * at + 2] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    sets = [brute_shingles(t) for _, t in rows[:20]]
+    assert all(0.87 < len(s & sets[0]) / len(s | sets[0]) < 0.89 for s in sets[1:])
+    assert all(len(s & t) / len(s | t) < 0.8 for i, s in enumerate(sets[1:]) for t in sets[1 : i + 1])
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_near_dedup_tells_rows_of_one_doc_id_apart(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one, "x"), (1, two, "y"), (2, one, "z"), (3, two, "z"), (1, one, "w"), (None, two, "v"), (4, thue_morse(11)[0], ""), (5, thue_morse(11)[1], "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r.doc_id, r.text[:1], len(r.text)) for r in near_dedup.near_dedup(df).collect())
+    assert got == sorted([(1, "a", len(one)), (1, "b", len(two)), (4, "a", 2048), (5, "b", 2048)])
+    report = near_dedup.near_duplicates(df).collect()
+    assert sum(r.kept for r in report) == 4 and sorted(r.class_size for r in report) == [1, 1, 3, 3, 3, 3, 3, 3]
+    named = near_dedup.near_duplicates(df.select(F.concat(F.lit("n"), F.col("doc_id")).alias("doc_id"), "text")).collect()
+    assert sum(r.kept for r in named) == 4
+
+
+def test_slices_hold_all_rows():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * n if n else None for n in (0, 5, 100, 3, 0, 40, 41, 1)], "n": list(range(8))})
+    parts = list(arrays.slices([batch, batch.slice(0, 0)], "text", 50))
+    assert [x for p in parts for x in p.column("n").to_pylist()] == list(range(8))
+    assert all(p.num_rows <= 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= 50 for p in parts)
+
+
 def test_block_links_match_brute_force(monkeypatch):
     monkeypatch.setattr(near_dedup, "COLUMNS", 50)
     rng = np.random.default_rng(3)
@@ -145,6 +192,69 @@ def test_scores_cover_whole_texts():
     assert quality.score_texts(net, [long])[0] != quality.score_texts(net, [long + "RIVER!! STONE!! " * 50])[0]
 
 
+def naive_score(net, text):
+    """Filters slid over every chunk one window at a time."""
+    raw = (text or "").encode()
+    chunks = 1 + max(0, -(-(len(raw) - quality.CHUNK) // quality.HOP))
+    raw = raw.ljust(quality.CHUNK + quality.HOP * (chunks - 1) + quality.WIDTH, b"\0")
+    features = []
+    for c in range(chunks):
+        best = np.full(quality.FILTERS, -np.inf)
+        for at in range(0, quality.CHUNK, quality.STEP):
+            window = raw[c * quality.HOP + at :][: quality.WIDTH]
+            best = np.maximum(best, sum(net.embedding[b] @ net.weights[k] for k, b in enumerate(window)))
+        features.append(np.maximum(best + net.bias, 0))
+    z = net.out @ np.concatenate((np.mean(features, axis=0), np.max(features, axis=0))) + net.shift[0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_match_naive_convolution(monkeypatch):
+    rng = random.Random(8)
+    texts = [noisy(rng, i % 2) for i in range(60)]
+    net = quality.fit(texts, np.array([float(i % 2) for i in range(60)]), epochs=4)
+    tried = ["", None, "a", "é" * 300, "x" * 512, "x" * 513, *texts[:5], " ".join(texts[:4])]
+    monkeypatch.setattr(quality, "PIECE", 2 * quality.SEGMENT)
+    assert np.allclose(quality.score_texts(net, tried, block=2000), [naive_score(net, t) for t in tried], atol=1e-5)
+
+
+def test_gradient_matches_differences():
+    rng = np.random.default_rng(1)
+    net = quality.Network.fresh(rng)
+    net.out[:] = rng.normal(size=net.out.shape)
+    docs = [rng.integers(32, 120, (n, quality.CHUNK + quality.REACH)).astype(np.uint8) for n in (1, 3, 2)]
+    labels = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        total = 0
+        for d, y in zip(docs, labels, strict=True):
+            table = net.embedding @ net.weights
+            windows = sum(table[p][d[:, p : p + quality.CHUNK : quality.STEP]] for p in range(quality.WIDTH)).max(axis=1)
+            f = np.maximum(windows + net.bias, 0)
+            p = 1 / (1 + np.exp(-(net.out @ np.concatenate((f.mean(axis=0), f.max(axis=0))) + net.shift[0])))
+            total -= (y * np.log(p) + (1 - y) * np.log(1 - p)) / len(docs)
+        return total + 0.5e-4 * (net.out**2).sum()
+
+    for p, g in zip(net.parameters(), quality._gradient(net, docs, labels), strict=True):
+        for at in rng.integers(0, p.size, 6):
+            flat, old = p.reshape(-1), p.reshape(-1)[at]
+            flat[at] = old + 1e-6
+            up = loss()
+            flat[at] = old - 1e-6
+            down = loss()
+            flat[at] = old
+            assert (up - down) / 2e-6 == pytest.approx(g.reshape(-1)[at], abs=2e-4)
+
+
+def test_labelled_sample_is_bounded_and_repeatable(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i} " * (1 + i % 9)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    texts, marks = quality.labelled_sample(docs, labels)
+    assert len(texts) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(50)) and texts == quality.labelled_sample(docs.repartition(5), labels)[0]
+    few, _ = quality.labelled_sample(docs, labels, most_bytes=300)
+    assert 0 < sum(map(len, few)) <= 300 and set(few) <= set(texts)
+    assert len(quality.labelled_sample(docs, labels, most=7)[0]) == 7
+
+
 def test_media_round_trip(spark, odd, odd_rows, empty, tmp_path):
     rows = media.store_media(odd, str(tmp_path), shard_bytes=4000).collect()
     want = defaultdict(list)
@@ -176,6 +286,39 @@ def test_tokenizer_equals_library():
     assert [x.tolist() for x in tok(texts)] == [e.ids for e in tok.slow.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokenizer_with_long_texts_and_other_scripts(monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 300)
+    rng = random.Random(2)
+    letters = "ab1 '\n\t.,—’“”é☃жщ漢字ไทย\u3000\u2009\u180e٣½ⅷ\u0301\U0001f600"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 400))) for _ in range(400)]
+    texts += [" ".join(rng.choice(["it's", "we'll", "12", "x\n", "  y", "don’t"]) for _ in range(300)) for _ in range(20)]
+    tok = packing.BatchTokenizer(packing.default_tokenizer(), keep=200)
+    assert [x.tolist() for x in tok(texts)] == [e.ids for e in tok.slow.encode_batch(texts, add_special_tokens=False)]
+    long = " ".join(texts[-20:])
+    assert "".join(packing.segments(long, 50)) == long and max(map(len, packing.segments(long, 50))) < 120
+    whole = tok.slow.encode(long, add_special_tokens=False).ids
+    assert [i for part in packing.segments(long, 50) for i in tok([part])[0].tolist()] == whole
+
+
+def test_tokenizer_compares_words_of_equal_hash(monkeypatch):
+    one, two = thue_morse(11)
+    texts = [one, two, "these words all share a hash", "and so do those", "x", one]
+    tok = packing.BatchTokenizer(packing.default_tokenizer())
+    want = [e.ids for e in tok.slow.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tok(texts)] == want
+    monkeypatch.setattr(tok, "_hash", lambda data, lengths: np.ones(len(lengths), np.uint64))
+    assert [x.tolist() for x in tok(texts)] == want
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(10,2)", "double", "date"])
+def test_any_type_of_doc_id(spark, kind):
+    value = "DATE '2024-01-01'" if kind == "date" else f"CAST(7 AS {kind})"
+    df = spark.sql(f"SELECT {value} AS doc_id, 'some text' AS text")
+    want = df.first().doc_id
+    assert [r.doc_id for r in packing.pack(df).collect()] == [r.doc_id for r in media.store_media(df).collect()] == [want]
+    assert [r.class_id for r in near_dedup.near_duplicates(df).collect()] == [want]
+
+
 def test_tokenizer_keeps_added_tokens():
     from tokenizers import Tokenizer
 
