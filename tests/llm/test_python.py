@@ -1,6 +1,7 @@
 import hashlib
 import random
 import tarfile
+import time
 import zlib
 from collections import defaultdict
 
@@ -416,3 +417,119 @@ def test_html_words_of_class_still_cut_the_rest():
     advert = "<div class=ad>An advert of more words than the whole article has.</div>"
     assert html_text.extract(f"<body>{advert}<article><p>Short.</p></article></body>") == html_text.extract(f"<body><article><p>Short.</p>{advert}</article></body>") == "Short."
     assert html_text.extract(f"<body><article><h1>T</h1><div class='entry social'>{STORY}</div></article></body>") == "T\n" + TOLD
+
+
+def test_html_keeps_what_the_article_holds():
+    for extra, want in [
+        ("<div class='share-price'><p>The price of a share fell.</p></div>", "The price of a share fell."),
+        ("<section class='related-work'><h2>Related work</h2><p>Others did this.</p></section>", "Related work\nOthers did this."),
+        ("<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li><li><a href=3>Third source</a></li></ul>", "First source\nSecond source\nThird source"),
+        ("<p>R&am<b>p;</b>D and R&amp;D</p>", "R&amp;D and R&D"),
+    ]:
+        assert html_text.extract(f"<body><nav>n</nav><article>{STORY}{extra}</article></body>") == f"{TOLD}\n{want}"
+        assert html_text.extract(f"<body><div id=content>{STORY}{extra}{STORY}</div></body>") == f"{TOLD}\n{want}\n{TOLD}"
+    for rest in ["<div class=related-posts><p>Some other post</p></div>", "<div class='ad ad-slot'>Buy</div>", "<div id=share-buttons>Tell it</div>", "<form>Search</form>"]:
+        assert html_text.extract(f"<body><div id=content>{STORY}{rest}</div></body>") == TOLD
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(5)) + "</ul>"
+    assert html_text.extract(f"<body><div>{menu}{STORY}{menu}</div></body>") == TOLD
+
+
+@pytest.mark.parametrize("page", ["<a " + "''" * 500_000, "<a x=" + "'\"" * 300_000, "<a x=' <b y=\" " * 60_000, "<p>" + "<i>" * 60_000 + "<p>x" * 60_000, "<i>" * 60_000 + "</x>" * 100_000, "<!--" * 300_000, "<" * 300_000, "<div class=ad>" * 60_000])
+def test_html_takes_time_in_proportion(page):
+    start = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - start < 5
+
+
+def test_html_tree():
+    for page, text in [
+        ("<head><title>t</title><p>In the body</p>", "In the body"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "a\nb\nc\nd"),
+        ("<div>a</span></p></x>b</div>", "ab"), ("<p>text <b", "text"), ("<p a='x>y'>in</p>", "in"), ("<div><table><tr><td>x</div>y</table>z</div>", "xy\nz"), ("<BODY><P CLASS='x'>Up</BODY>", "Up"),
+    ]:
+        assert html_text.extract(page) == text, page
+
+
+def random_page(rng, depth=0):
+    parts = []
+    for _ in range(rng.randint(1, 4)):
+        words = " ".join(rng.choice(["alpha", "be", "gamma", "of"]) for _ in range(rng.choice([0, 2, 8, 30])))
+        kind = rng.choice(["text", "p", "div", "section", "ul", "a", "b", "h2", "span"])
+        if kind == "text" or depth > 4:
+            parts.append(words)
+        elif kind == "ul":
+            parts.append("<ul>" + "".join(f"<li><a href=x>{words[:12]} {i}</a></li>" for i in range(rng.randint(1, 4))) + "</ul>")
+        elif kind in ("div", "section", "span", "b"):
+            parts.append(f"<{kind}>{random_page(rng, depth + 1)}</{kind}>")
+        else:
+            parts.append(f"<{kind}>{words}</{kind}>")
+    return " ".join(parts)
+
+
+def naive_choice(body):
+    """The same definition, every node counted anew from its own text."""
+
+    def inside(node, links=False):
+        for p in node.parts:
+            if isinstance(p, str):
+                yield "text", len("".join(p.split())), links or node.tag == "a"
+            else:
+                yield p.tag, 0, False
+                yield from inside(p, links or node.tag == "a")
+
+    def counts(node):
+        seen = list(inside(node))
+        above = node.parent
+        while above:
+            if above.tag == "a":
+                seen = [(k, n, True) for k, n, _ in seen]
+            above = above.parent
+        return sum(n for _, n, _ in seen), sum(k != "text" and k not in html_text.INLINE for k, _, _ in seen), sum(n for _, n, x in seen if x), sum(k == "a" for k, _, _ in seen)
+
+    whole = counts(body)
+
+    def density(node):
+        c, t, lc, lt = counts(node)
+        if not c:
+            return 0.0
+        t = max(t, 1)
+        base, ratio = np.log(c * lc / max(c - lc, 1) + whole[2] / max(whole[0], 1) * c + np.e), c / max(lc, 1) * t / max(lt, 1)
+        if base <= 1 + 1e-12:
+            return c / t * max(np.log(ratio), 0)
+        return c / t * np.log(ratio) / np.log(base) if ratio > 1 else 0.0
+
+    def children(node):
+        return [p for p in node.parts if not isinstance(p, str)]
+
+    def ancestors(node):
+        return [node] if node is body else [node, *ancestors(node.parent)]
+
+    def below(node):
+        return [node, *(x for p in children(node) for x in below(p))]
+
+    nodes = below(body)
+    sums = [sum(density(p) for p in children(n) if p.tag not in html_text.INLINE) for n in nodes]
+    best = nodes[int(np.argmax(np.array(sums) > max(sums) - 1e-9))]
+    if max(sums) <= 0:
+        return [body]
+    path = ancestors(best)
+    threshold = min(map(density, path))
+    held = [best] + [p for n in path[1:] for p in children(n) if p not in path and p.tag not in html_text.INLINE and counts(p)[0] and density(p) >= threshold - 1e-12]
+    lowest = next(n for n in path if all(n in ancestors(x) for x in held))
+    if lowest is not body or best is body:
+        return html_text._without_lists(lowest)
+    places = [i for i, p in enumerate(body.parts) if any(p in ancestors(x) for x in held)]
+    first = min(places)
+    while first and (isinstance(body.parts[first - 1], str) and not body.parts[first - 1].strip() or not isinstance(body.parts[first - 1], str) and body.parts[first - 1].tag in html_text.HEADINGS):
+        first -= 1
+    return body.parts[first : max(places) + 1]
+
+
+def test_html_choice_matches_naive_densities():
+    rng, kinds = random.Random(12), set()
+    for _ in range(300):
+        root = html_text.parse(f"<body>{random_page(rng)}</body>")
+        body = html_text._measure(root)
+        got = html_text._chosen(body)
+        assert html_text._blocks(got) == html_text._blocks(naive_choice(body))
+        kinds.add(got[0] is body)
+    assert kinds == {True, False}
