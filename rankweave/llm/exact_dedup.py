@@ -3,7 +3,7 @@
 1. Every row gets the SHA-256 of its text, lower-cased in A-Z only.
 2. Misra-Gries counters (DataFrame.freqItems, at most 1/support of them) name every digest that
    can hold more than `support` of all rows. They may also name rare ones, so an exact partial
-   aggregate verifies the count and finds the winner of each.
+   aggregate verifies the count and finds the winner of each, a single row.
 3. The verified winners, at most 1/support rows, are broadcast. A losing row of a heavy digest is
    settled where it lies and never shuffled.
 4. All other rows, whose digests hold less than `support` of the rows each, are shuffled by digest.
@@ -33,24 +33,21 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def heavy_winners(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(digest, hot_keep, hot_n) of the digests with more than one row among the Misra-Gries candidates."""
+def heavy_winners(digests: DataFrame, best: Column, support: float = SUPPORT) -> DataFrame:
+    """(digest, hot_best, hot_n) of the digests with more than one row among the Misra-Gries candidates."""
     candidates = digests.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
-    return (
-        digests.join(F.broadcast(candidates), "digest", "left_semi")
-        .groupBy("digest")
-        .agg(F.max("doc_id").alias("hot_keep"), F.count(F.lit(1)).alias("hot_n"))
-        .where("hot_n > 1")
-    )
+    heavy = digests.join(F.broadcast(candidates), "digest", "left_semi")
+    return heavy.groupBy("digest").agg(F.max(best).alias("hot_best"), F.count(F.lit(1)).alias("hot_n")).where("hot_n > 1")
 
 
 def dedup_report(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = saved(docs.select("doc_id", digest(F.col("text")).alias("digest")), "digests")
-    tagged = digests.join(F.broadcast(heavy_winners(digests, support)), "digest", "left")
-    settled = F.col("hot_n").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("hot_keep"))
+    uid = F.monotonically_increasing_id().alias("uid")  # the saved table gives every row its own
+    digests = saved(docs.select("doc_id", uid, digest(F.col("text")).alias("digest")), "digests")
+    tagged = digests.join(F.broadcast(heavy_winners(digests, F.struct("doc_id", "uid"), support)), "digest", "left")
+    settled = F.col("hot_n").isNotNull() & (F.col("uid") != F.col("hot_best.uid"))
     losers = tagged.where(settled).select(
-        "doc_id", F.col("hot_keep").alias("keep_id"), F.col("hot_n").alias("group_size"), F.lit(False).alias("kept"), F.col("digest").alias("text_sha256")
+        "doc_id", F.col("hot_best.doc_id").alias("keep_id"), F.col("hot_n").alias("group_size"), F.lit(False).alias("kept"), F.col("digest").alias("text_sha256")
     )
     group = Window.partitionBy("digest")
     rest = tagged.where(~settled).select(
@@ -64,9 +61,10 @@ def dedup_report(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns. The filter on the rank is taken in each task
+    before the shuffle as well, so of rows that repeat doc_id and text one a task is moved."""
     digests = saved(docs.select("doc_id", digest(F.col("text")).alias("digest")), "digests")
-    winners = heavy_winners(digests, support).withColumnsRenamed({"digest": "__rw_digest", "hot_keep": "__rw_keep", "hot_n": "__rw_n"})
+    winners = heavy_winners(digests, F.col("doc_id"), support).withColumnsRenamed({"digest": "__rw_digest", "hot_best": "__rw_keep", "hot_n": "__rw_n"})
     rows = docs.withColumn("__rw_digest", digest(F.col("text"))).join(F.broadcast(winners), "__rw_digest", "left")
     rows = rows.where(F.col("__rw_n").isNull() | F.col("doc_id").eqNullSafe(F.col("__rw_keep")))
     first = Window.partitionBy("__rw_digest").orderBy(F.col("doc_id").desc_nulls_last())

@@ -62,6 +62,12 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
 
 
+def _shuffle(seed: int) -> Column:
+    """A place in the queue by doc_id and text: 60 bits of a digest."""
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _sources(s: Scratch, sums: DataFrame, weights: Sequence[float], repeats: int) -> tuple[DataFrame, float]:
     """(key, source_size, target) by targets(), whatever the number of sources, and the total of the targets."""
     place = F.row_number().over(Window.orderBy("key")) - 1  # one row a source
@@ -77,14 +83,14 @@ def _sources(s: Scratch, sums: DataFrame, weights: Sequence[float], repeats: int
         seen, full = r["n"], (F.col("source_size") <= 0) | (F.lit(left) * F.col("w") / F.lit(free) > F.lit(repeats) * F.col("source_size"))
     target = F.when(full, F.col("source_size") * float(repeats)).otherwise(F.lit(left) * F.col("w") / F.lit(free or 1.0))
     out = s.saved(rows.select("key", "source_size", target.alias("target")), "targets", keep=True)
-    return sent_if_small(out), float(out.agg(F.sum("target")).first()[0] or 0.0)
+    return sent_if_small(out), float(total)  # the shares are of all sizes, and three times each is enough for them
 
 
 def mix(docs: DataFrame, seed: int = 17, repeats: int = REPEATS, weights: Sequence[float] = WEIGHTS, carry: Mapping[str, Column] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row, with the columns of `carry` besides."""
     carry = dict(carry or {})
     with Scratch(docs.sparkSession, "mix") as s:
-        slim = docs.select("doc_id", _source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *[c.alias(n) for n, c in carry.items()])
+        slim = docs.select("doc_id", _source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), _shuffle(seed).alias("h"), *[c.alias(n) for n, c in carry.items()])
         slim = s.saved(slim, "sizes", keep=True)
         slim = slim.withColumn("b", F.pmod("h", F.lit(max(BUCKETS, slim.count() // BUCKET_ROWS))).cast("int"))
         parts = s.saved(slim.groupBy("key", "b").agg(F.sum("size").alias("s")), "parts")
@@ -155,3 +161,31 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         n = F.least(F.lit(RUN), F.col("__rw_times") - F.col("__rw_run") * RUN)
         out = out.unionByName(one.withColumn("__rw_n", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long")))).select(*docs.columns))
     return out
+
+
+SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS s FROM rows GROUP BY source),
+weighed AS (SELECT source, s, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM sums),
+line AS (
+  SELECT *, sum(s) OVER () AS total, row_number() OVER o AS k,
+         coalesce(sum(3 * s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_from
+  FROM weighed WHERE s > 0 WINDOW o AS (ORDER BY 3 * s / w, source)),
+level AS (SELECT (total - full_before)::DOUBLE AS left_over, w_from AS w_free, k AS first_free FROM line WHERE 3 * s >= (total - full_before) * w / w_from ORDER BY k LIMIT 1),
+goal AS (
+  SELECT w.source, w.s, CASE WHEN w.s = 0 THEN 0.0 WHEN l.k < first_free THEN 3.0 * w.s ELSE left_over * w.w / w_free END::DOUBLE AS target
+  FROM weighed w LEFT JOIN line l ON l.source IS NOT DISTINCT FROM w.source LEFT JOIN level ON true),
+queue AS (
+  SELECT doc_id, size, s, target, sum(size) OVER (PARTITION BY r.source ORDER BY h % 1024, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS sent
+  FROM rows r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source),
+sendings AS (SELECT size, (sent + e * s)::DOUBLE / target AS fin FROM queue, range(0, 3) t(e) WHERE size > 0),
+cut AS (
+  SELECT max(fin) AS fin FROM (SELECT fin, sum(sum(size)) OVER (ORDER BY fin) AS upto FROM sendings GROUP BY fin)
+  WHERE upto <= (SELECT sum(s) FROM sums))
+SELECT doc_id, size::BIGINT AS size, s::BIGINT AS source_size, target,
+       (CASE WHEN size = 0 THEN 0 ELSE size * len(list_filter(range(0, 3), lambda e: (sent + e * s)::DOUBLE / target <= cut.fin)) END)::BIGINT AS taken
+FROM queue LEFT JOIN cut ON true
+"""

@@ -48,7 +48,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_media(table(spark, sf_dir, "documents"))
-    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SQL = {
+    "op2_near_dedup": near_dedup.SQL,
+    "op4_mixing": mixing.SQL,
     "op6_url_filter": url_filter.SQL,
+    "op8_secrets": secrets.SQL,
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .storage import saved
 
 SHARDS = 16
-BUCKETS = 1024
+SPREAD = 64
+BUCKETS, BUCKET_ROWS = 1024, 1_000_000
 
 
 def _pick(values: list[int], index: Column) -> Column:
@@ -138,18 +139,20 @@ def propagate(base: DataFrame, capacity: list[int], rounds: int | None, buckets:
     return cells
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, buckets: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; law `rows`: counts at most one apart."""
+    total = docs.count()
+    buckets = buckets or max(BUCKETS, total // BUCKET_ROWS)
     text = F.coalesce(F.col("text"), F.lit(""))
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))  # rows that repeat doc_id and text lie in many buckets
     base = docs.select(
         F.col("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
         F.xxhash64(F.lit(1), text).alias("k2"),
-    ).withColumn("b", F.pmod(F.xxhash64("doc_id", "k1"), F.lit(buckets)).cast("int"))
+    ).withColumn("b", F.pmod(F.xxhash64("doc_id", "k1", turn), F.lit(buckets)).cast("int"))
     base = saved(base.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy("doc_id", "k1", "k2"))), "base")
-    total = base.count()
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     cells = propagate(base, capacity, rounds, buckets)
 

@@ -1,17 +1,20 @@
 """URL filter by a temporal list join.
 
 A list entry (domain, effective_on, action) holds from its date until the next entry of the same
-domain. Entries become validity intervals [valid_from, valid_to), gathered in one row per domain.
-A capture is looked up under its host and every parent domain; at each level the entry that was
-active on the day of the fetch is found as of that day. The most specific active entry decides.
+domain: entries become validity intervals [valid_from, valid_to). A capture is looked up under its
+host and every parent domain; at each level the interval that holds the day of the fetch is found as
+of that day. The most specific one decides.
 
-The list is joined on (domain, salt): captures are dealt over SALTS salts by URL hash and the list,
-which is far smaller, is repeated for each. So a host with a third of all captures is spread, and
-nothing has to be broadcast.
+The as-of join runs over the distinct (domain, day) that captures ask for: they are laid among the
+intervals of the domain by day, and each takes the last interval begun. A domain has at most one
+question and one interval a day, so its group is bounded by the calendar however many captures it has.
+Answers go back to the distinct (host, day) and from there to the captures by equi-joins, whose large
+keys adaptive execution splits. Nothing is broadcast by hand.
 
 Defined cases: a null or malformed URL has no host and is kept with action `none`; a null fetch
-date finds no entry. Two entries of one domain on one day: `block` wins over `allow`. Entries with
-a null domain or date are ignored. Repeated captures are judged one by one.
+date finds no entry. An address (IPv4, or IPv6 in brackets) has no parents. Two entries of one domain
+on one day: `block` wins over `allow`. Entries with a null domain or date are ignored. Repeated
+captures are judged one by one.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
-HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
+ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*)$"
 
 
 def host_of(url: Column) -> Column:
@@ -28,29 +31,33 @@ def host_of(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """(domain, spans): the entries of a domain as sorted (valid_from, valid_to, action)."""
+    """(domain, valid_from, valid_to, action): valid_to is null where nothing follows."""
     clean = entries.where("domain IS NOT NULL AND effective_on IS NOT NULL")
-    daily = clean.groupBy(F.lower("domain").alias("domain"), "effective_on").agg(F.max("action").alias("action"))
-    until = F.lead("effective_on").over(Window.partitionBy("domain").orderBy("effective_on"))
-    spans = daily.withColumn("valid_to", until)
-    return spans.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct(F.col("effective_on").alias("valid_from"), "valid_to", "action"))).alias("spans"))
+    daily = clean.groupBy(F.lower("domain").alias("domain"), F.col("effective_on").alias("valid_from")).agg(F.max("action").alias("action"))
+    return daily.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("domain").orderBy("valid_from")))
+
+
+def as_of(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """asked (domain, fetched_on), distinct -> those with an interval that holds the day, with its since and action."""
+    rule = F.struct("valid_from", "valid_to", "action")
+    begun = spans.select("domain", F.col("valid_from").alias("day"), F.lit(0).alias("asks"), rule.alias("rule"))
+    line = begun.unionByName(asked.select("domain", F.col("fetched_on").alias("day"), F.lit(1).alias("asks")), allowMissingColumns=True)
+    latest = F.last("rule", ignorenulls=True).over(Window.partitionBy("domain").orderBy("day", "asks"))
+    found = line.withColumn("rule", latest).where("asks = 1 AND rule IS NOT NULL AND (rule.valid_to IS NULL OR day < rule.valid_to)")
+    return found.select("domain", F.col("day").alias("fetched_on"), F.col("rule.valid_from").alias("since"), F.col("rule.action").alias("action"))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, key: str = "page_id", default: str = "none") -> DataFrame:
     """captures (key, url, fetched_on) -> key, url, host, fetched_on, rule_domain, rule_since, action, kept."""
-    labels = F.split("host", r"\.")
     levels = F.expr("transform(sequence(1, greatest(size(labels) - 1, 1)), i -> struct(i AS level, array_join(slice(labels, i, size(labels)), '.') AS domain))")
+    labels = F.when(F.col("host").rlike(ADDRESS), F.array("host")).otherwise(F.split("host", r"\."))
     rows = captures.select(F.col(key).alias("key"), "url", host_of(F.col("url")).alias("host"), "fetched_on")
-    # Each distinct capture (url, day) is judged once per domain level, with its most specific hit kept.
-    asked = rows.where("host IS NOT NULL").withColumn("labels", labels).withColumn("at", F.explode(levels))
-    asked = asked.select("host", "fetched_on", "at.level", "at.domain").groupBy("host", "fetched_on", "level", "domain").agg(F.count(F.lit(1)).alias("captures"))
-    active = F.expr("get(filter(spans, s -> s.valid_from <= fetched_on AND (s.valid_to IS NULL OR fetched_on < s.valid_to)), 0)")
-    hits = asked.join(intervals(entries), "domain").withColumn("hit", active).where("hit IS NOT NULL")
-    best = hits.groupBy("host", "fetched_on").agg(F.min(F.struct("level", "domain", F.col("hit.valid_from").alias("since"), F.col("hit.action").alias("action"))).alias("rule"))
-    salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int"))
+    hosts = rows.where("host IS NOT NULL AND fetched_on IS NOT NULL").select("host", "fetched_on").distinct()
+    asked = hosts.withColumn("labels", labels).select("host", "fetched_on", F.explode(levels).alias("at")).select("host", "fetched_on", "at.level", "at.domain")
+    hits = asked.join(as_of(asked.select("domain", "fetched_on").distinct(), intervals(entries)), ["domain", "fetched_on"])
+    best = hits.groupBy("host", "fetched_on").agg(F.min(F.struct("level", "domain", "since", "action")).alias("rule"))
     action = F.coalesce("rule.action", F.lit(default))
-    return rows.join(salted, ["host", "fetched_on", "salt"], "left").select(
+    return rows.join(best, ["host", "fetched_on"], "left").select(
         F.col("key").alias(key), "url", "host", "fetched_on", F.col("rule.domain").alias("rule_domain"), F.col("rule.since").alias("rule_since"), action.alias("action"), (action != "block").alias("kept")
     )
 
@@ -81,7 +88,7 @@ def dated_list(pages: DataFrame) -> DataFrame:
 SQL = r"""
 WITH captures AS (
   SELECT page_id, url,
-         nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
+         nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1)), '') AS host,
          DATE '2024-01-01' + (('0x' || substr(md5(url), 1, 4))::INT % 360) AS fetched_on
   FROM pages),
 domains AS (
@@ -96,7 +103,7 @@ entries AS (
 daily AS (SELECT domain, since, max(action) AS action FROM entries GROUP BY ALL),
 asked AS (
   SELECT page_id, url, fetched_on, level, array_to_string(list_slice(string_split(host, '.'), level, len(string_split(host, '.'))), '.') AS domain
-  FROM (SELECT *, unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS level FROM captures WHERE host IS NOT NULL)),
+  FROM (SELECT *, unnest(range(1, CASE WHEN regexp_matches(host, '^(\d{1,3}(\.\d{1,3}){3}|\[.*)$') THEN 2 ELSE greatest(len(string_split(host, '.')), 2) END)) AS level FROM captures WHERE host IS NOT NULL)),
 hits AS (
   SELECT a.page_id, a.url, a.level, d.domain, d.since, d.action
   FROM asked a ASOF JOIN daily d ON a.domain = d.domain AND a.fetched_on >= d.since),
