@@ -2,6 +2,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from rankweave.llm import mixing, quality
 
 
@@ -43,3 +45,22 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         tokens[r.doc_id] += r.length
     assert all(tokens[i] == n * next(r.doc_tokens for r in out if r.doc_id == i) for i, n in times.items())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_pipeline_with_nulls_empties_and_clashing_columns(spark, tmp_path, odd, odd_rows, empty):
+    names = ["score", "node", "class_id", "h", "target", "uid", "key", "label"]
+    docs = odd.withColumns({n: F.lit("own").cast("string") for n in names})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(150)] + [(None, 1), (3000, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, at, str(tmp_path))
+        assert after.columns == docs.columns, name
+        after.write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        assert at.count() > 0 and at.where("score <> 'own' OR label <> 'own' OR node <> 'own'").isEmpty(), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in at.collect())
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
