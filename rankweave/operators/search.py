@@ -9,16 +9,18 @@ Ranks go by scores rounded to 6 places, then id, so they do not depend on the or
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import unicodedata
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from . import fusion
+from .fusion import RRF
 
 K1, B = 1.2, 0.75
-RRF = 60
 DEFAULT_K, MAX_K = 10, 1000
 
 
@@ -40,9 +42,15 @@ def tenant_scoped(corpus: DataFrame, tenant: str | None, column: str = "tenant")
 
 
 def query_terms(text: str) -> list[str]:
-    import re
-
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", text.lower())))
+    """Lower-cased runs of letters and decimal digits, as tokens() splits texts, each once."""
+    runs, word = [], ""
+    for c in text.lower() + " ":
+        if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd":
+            word += c
+        elif word:
+            runs.append(word)
+            word = ""
+    return list(dict.fromkeys(runs))
 
 
 def _equals(word: str):
@@ -83,15 +91,8 @@ def _rank(*order: Column | str) -> Column:
 
 
 def rrf(scored: DataFrame, k: int, partition: Sequence[str] = ()) -> DataFrame:
-    """Fuse ranks by bm25 and by cosine. Ranks beyond a rank R add less than 1/(60+R), but every candidate keeps its rank."""
-    lex = Window.partitionBy(*partition).orderBy(F.col("bm25").desc(), "id")
-    sem = Window.partitionBy(*partition).orderBy(F.col("cosine").desc(), "id")
-    ranked = scored.withColumn("lex_rank", F.row_number().over(lex).cast("long")).withColumn("sem_rank", F.row_number().over(sem).cast("long"))
-    ranked = ranked.withColumn("fused", F.round(F.lit(1.0) / (RRF + F.col("lex_rank")) + F.lit(1.0) / (RRF + F.col("sem_rank")), 9))
-    if partition:
-        top = Window.partitionBy(*partition).orderBy(F.col("fused").desc(), "id")
-        return ranked.withColumn("position", F.row_number().over(top).cast("long")).where(F.col("position") <= k)
-    return ranked.orderBy(F.col("fused").desc(), "id").limit(k)
+    """Fuse ranks by bm25 and by cosine, over all rows or within each value of one column; the best k."""
+    return fusion.best(scored, k, *partition)
 
 
 def candidates(corpus: DataFrame, text: str, vector: Sequence[float], filters: Mapping[str, str] | None = None) -> DataFrame:
@@ -99,28 +100,27 @@ def candidates(corpus: DataFrame, text: str, vector: Sequence[float], filters: M
     return scored.withColumn("cosine", F.round(V.cosine(F.col("vector"), V.literal(vector)), 6))
 
 
-def rank_of(scored: DataFrame, score: str, name: str, ranges: int = 2048) -> DataFrame:
-    """Exact global row_number by score desc, id, without one task that holds all rows: rows are ranked
-    within ranges of score, and the counts of the ranges above (a table of `ranges` rows) are added."""
-    low, high = scored.agg(F.min(score), F.max(score)).first()
-    width = ((high or 0) - (low or 0)) or 1.0
-    placed = scored.withColumn("__range", F.least(F.floor((F.lit(high or 0) - F.col(score)) / F.lit(width) * ranges), F.lit(ranges - 1)).cast("int"))
-    placed = placed.withColumn("__sub", F.when(F.col(score) == 0, F.pmod(F.floor(F.col("id") / 65536), F.lit(1 << 30))).otherwise(F.lit(0)).cast("int"))
-    counts = placed.groupBy("__range", "__sub").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__range", "__sub")) - F.col("__n")).drop("__n")
-    inside = F.row_number().over(Window.partitionBy("__range", "__sub").orderBy(F.col(score).desc(), "id"))
-    return placed.join(before, ["__range", "__sub"]).withColumn(name, (F.col("__before") + inside).cast("long")).drop("__range", "__sub", "__before")
-
-
 def hybrid_search(corpus: DataFrame, text: str, vector: Sequence[float], filters: Mapping[str, str] | None = None, k: int = DEFAULT_K, rerank=None, depth: int = 50) -> DataFrame:
-    """id, bm25, cosine, ranks and fused score of the top k. rerank(DataFrame) -> DataFrame reorders the top `depth`."""
-    scored = candidates(corpus, text, vector, filters).select("id", "bm25", "cosine")
-    ranked = rank_of(rank_of(scored, "bm25", "lex_rank"), "cosine", "sem_rank")
-    ranked = ranked.withColumn("fused", F.round(F.lit(1.0) / (RRF + F.col("lex_rank")) + F.lit(1.0) / (RRF + F.col("sem_rank")), 9))
-    top = ranked.orderBy(F.col("fused").desc(), "id").limit(max(k, depth) if rerank else k)
-    if rerank:
-        top = rerank(top.join(corpus.select("id", "text"), "id")).limit(k)
-    return top
+    """id, bm25, cosine, exact ranks and fused score of the top k of a corpus without an index. rerank: see reranked."""
+    scored = candidates(corpus, text, vector, filters)
+    if not rerank:
+        return fusion.best(scored, k)
+    return reranked(fusion.best(scored, max(k, depth)).join(corpus.select("id", "text"), "id"), rerank, k)
+
+
+def reranked(top: DataFrame, rerank: Callable[[list[str]], Sequence[int]], k: int) -> DataFrame:
+    """top (with text and fused) in the order that rerank(texts) gives as a permutation of their numbers.
+    An error, or an answer that is no permutation, leaves the order as it was."""
+    rows = top.orderBy(F.col("fused").desc(), "id").collect()  # as many as the depth of the rerank
+    try:
+        order = list(rerank([r["text"] or "" for r in rows]))
+    except Exception:  # the ranking must not fail with the service
+        order = []
+    if sorted(order) != list(range(len(rows))):
+        order = list(range(len(rows)))
+    out = [(*rows[i], n) for n, i in enumerate(order[:k], 1)]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in top.schema.fields)
+    return top.sparkSession.createDataFrame(out, f"{kinds}, position int").drop("text")
 
 
 def page(top: DataFrame, offset: int, size: int) -> DataFrame:
@@ -131,8 +131,11 @@ def page(top: DataFrame, offset: int, size: int) -> DataFrame:
 
 def collection_search(corpus: DataFrame, text: str, vector: Sequence[float], k: int, column: str = "collection") -> DataFrame:
     """Top k of each collection, joined into one list whose score is 1 / (60 + position)."""
-    scored = candidates(corpus, text, vector).select("id", column, "bm25", "cosine")
-    best = rrf(scored, k, [column])
+    return collections_merged(candidates(corpus, text, vector), k, column)
+
+
+def collections_merged(scored: DataFrame, k: int, column: str) -> DataFrame:
+    best = fusion.best(scored, k, column)
     spot = Window.orderBy(F.col("fused").desc(), column, "id")
     merged = best.withColumn("position", F.row_number().over(spot).cast("long")).where(F.col("position") <= k)
     return merged.select("id", column, "position", F.round(F.lit(1.0) / (RRF + F.col("position")), 9).alias("score"))

@@ -5,15 +5,19 @@ Every query runs over its whole tables. Where a limit stands, it is the top k of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import ann, chunking, evaluate, lexicon, lifecycle, routing, search
+from ..operators import ann, chunking, evaluate, fusion, lexicon, lifecycle, routing, search
+from ..operators.index import SearchIndex
 from ..sources import html, relational
+from ..sources.shared import shared_dir
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,13 +47,34 @@ def vectors_of(spark, d) -> DataFrame:
 
 
 def corpus_of(spark, d) -> DataFrame:
-    return docs_of(spark, d).join(vectors_of(spark, d), "id")
+    """All documents; those without a vector have none."""
+    return docs_of(spark, d).join(vectors_of(spark, d), "id", "left")
+
+
+def _suggest_docs(spark, d):
+    return table(spark, d, "part").select(F.col("p_brand").alias("tenant"), F.col("p_name").alias("title"), F.col("p_type").alias("text"))
+
+
+def _index(spark, d, name: str, corpus: Callable[[], DataFrame], **options) -> SearchIndex:
+    """The index of a folder of tables, built by the first query of the application that asks for it."""
+    root = f"{shared_dir(spark)}/index-{name}-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    return SearchIndex(spark, root) if SearchIndex.exists(spark, root) else SearchIndex.build(corpus(), root, **options)
+
+
+def index_of(spark, d) -> SearchIndex:
+    return _index(spark, d, "documents", lambda: corpus_of(spark, d), rate=RATE, titles=_suggest_docs(spark, d))
+
+
+def vector_index_of(spark, d) -> SearchIndex:
+    """Every vector, whether it has a document or not."""
+    return _index(spark, d, "vectors", lambda: vectors_of(spark, d).withColumn("text", F.lit("")), rate=RATE)
 
 
 def query_vector(spark, d) -> list[float]:
     return list(table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
 
 
+RATE = 50
 TERMS = ("the", "of", "thand")
 TEXT = " ".join(TERMS)
 SQL_TOKENS = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{Nd}}]+'), lambda t: t <> '')"
@@ -60,7 +85,7 @@ st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (f{i
 bm AS (SELECT tf.*, round({" + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(TERMS)))}, 6) AS bm25 FROM tf, st)"""
 SQL_Q = "q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0)"
 SQL_COS = "round(list_cosine_similarity(embedding::DOUBLE[], qv), 6)"
-SQL_CAND = f"WITH {SQL_BM25.strip().replace('FROM documents)', 'FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))')}, {SQL_Q}, cand AS (SELECT doc_id AS id, lang, source, text, bm25, {SQL_COS} AS cosine FROM bm JOIN embeddings ON doc_id = vec_id, q)"
+SQL_CAND = f"WITH {SQL_BM25.strip()}, {SQL_Q}, cand AS (SELECT doc_id AS id, lang, source, text, bm25, coalesce({SQL_COS}, 0) AS cosine FROM q, bm LEFT JOIN embeddings ON doc_id = vec_id)"
 SQL_RANKED = """ranked AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, id) AS lex_rank, row_number() OVER (ORDER BY cosine DESC, id) AS sem_rank FROM cand {where}),
 fused AS (SELECT *, round(1.0::DOUBLE / (60 + lex_rank) + 1.0::DOUBLE / (60 + sem_rank), 9) AS fused FROM ranked)"""
 
@@ -76,12 +101,12 @@ def tokenize_stats(spark, d):
 
 @query(f"WITH {SQL_BM25.strip()} SELECT doc_id AS id, bm25 FROM bm WHERE bm25 > 0 ORDER BY bm25 DESC, doc_id LIMIT 50")
 def bm25_topk(spark, d):
-    return search.text_search(docs_of(spark, d), TEXT, k=50).select("id", "bm25")
+    return index_of(spark, d).text_search(TEXT, k=50).select("id", "bm25")
 
 
 @query(f"WITH {SQL_BM25.strip()} SELECT doc_id AS id, source, bm25 FROM bm WHERE lang = 'fr' ORDER BY bm25 DESC, doc_id LIMIT 20 OFFSET 5")
 def filtered_search(spark, d):
-    return search.text_search(docs_of(spark, d), TEXT, {"lang": "fr"}, 20, 5).select("id", "source", "bm25")
+    return index_of(spark, d).text_search(TEXT, {"lang": "fr"}, 20, 5, ["source"]).select("id", "source", "bm25")
 
 
 @query("SELECT doc_id AS id, lang, source FROM documents")
@@ -118,7 +143,7 @@ def facet_counts(spark, d):
 
 @query(f"WITH {SQL_BM25.strip()}, top AS (SELECT * FROM bm WHERE bm25 > 0 ORDER BY bm25 DESC, doc_id LIMIT 100) SELECT 'source' AS field, source AS value, count(*) AS n FROM top WHERE source <> '' GROUP BY source")
 def facet_of_results(spark, d):
-    ids = search.text_search(docs_of(spark, d), TEXT, k=100).select("id")
+    ids = index_of(spark, d).text_search(TEXT, k=100).select("id")
     return lexicon.facets(docs_of(spark, d).join(ids, "id", "left_semi"), ["source"])
 
 
@@ -129,10 +154,6 @@ terms AS (
 dict AS (SELECT tenant, term, sum(w)::BIGINT AS weight FROM terms WHERE w = 5 OR (w = 10 AND strlen(term) >= 2) OR (w = 1 AND strlen(term) >= 3) GROUP BY ALL)"""
 
 
-def _suggest_docs(spark, d):
-    return table(spark, d, "part").select(F.col("p_brand").alias("tenant"), F.col("p_name").alias("title"), F.col("p_type").alias("text"))
-
-
 @query(SQL_SUGGEST + " SELECT * FROM dict")
 def suggest_dictionary(spark, d):
     return lexicon.suggest_dictionary(_suggest_docs(spark, d))
@@ -140,7 +161,7 @@ def suggest_dictionary(spark, d):
 
 @query(SQL_SUGGEST + " SELECT term, sum(weight)::BIGINT AS weight FROM dict WHERE starts_with(term, 's') GROUP BY term ORDER BY 2 DESC, 1 LIMIT 10")
 def suggest_prefix(spark, d):
-    return lexicon.suggest(lexicon.suggest_dictionary(_suggest_docs(spark, d)), "S")
+    return index_of(spark, d).suggest("S")
 
 
 SQL_SPELL = f"dict AS (SELECT term, count(*) AS freq FROM (SELECT unnest({SQL_TOKENS.format('text')}) AS term FROM documents) WHERE strlen(term) >= 2 GROUP BY term)"
@@ -157,7 +178,7 @@ near AS (SELECT pos, word, term, row_number() OVER (PARTITION BY pos ORDER BY le
 SELECT w.pos::BIGINT AS pos, w.word, coalesce(term, '') AS correction FROM w LEFT JOIN near n ON n.pos = w.pos AND rn = 1""")
 def spell_suggest(spark, d):
     words = spark.range(1).select(F.posexplode(F.array(*[F.lit(w) for w in WORDS])).alias("pos", "word")).withColumn("pos", F.col("pos").cast("long"))
-    return lexicon.spell_candidates(words, lexicon.spell_dictionary(docs_of(spark, d)))
+    return lexicon.spell_candidates(words, index_of(spark, d).spelling())
 
 
 @query()
@@ -211,10 +232,10 @@ def binary_hamming(spark, d):
 
 @query(f"WITH {SQL_Q}, {SQL_HAMMING}, c AS (SELECT * FROM h ORDER BY hamming, vec_id LIMIT 50) SELECT vec_id AS id, hamming::INT AS hamming, {SQL_COS} AS score FROM c ORDER BY 3 DESC, 1 LIMIT 10")
 def bbq_search(spark, d):
-    return ann.bbq_search(vectors_of(spark, d), query_vector(spark, d), 10)
+    return vector_index_of(spark, d).bbq(query_vector(spark, d), 10)
 
 
-RATE, PROBES = 50, 5
+PROBES = 5
 SQL_ROUTE = f"""cen AS (SELECT vec_id AS cid, embedding::DOUBLE[] AS cv FROM embeddings WHERE vec_id % {RATE} = 0),
 dist AS (SELECT vec_id, cid, round(1 - list_cosine_similarity(embedding::DOUBLE[], cv), 6) AS dd FROM embeddings, cen WHERE vec_id % {RATE} <> 0),
 routed AS (SELECT vec_id AS id, cid AS centroid_id, false AS is_centroid FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dd, cid) AS rn FROM dist) WHERE rn = 1
@@ -229,8 +250,13 @@ def centroid_route(spark, d):
 @query(f"""WITH {SQL_Q}, {SQL_ROUTE}, probes AS (SELECT cid FROM cen, q ORDER BY round(1 - list_cosine_similarity(cv, qv), 6), cid LIMIT {PROBES})
 SELECT id, centroid_id, {SQL_COS} AS score FROM routed JOIN embeddings ON vec_id = id, q WHERE centroid_id IN (SELECT cid FROM probes) ORDER BY 3 DESC, 1 LIMIT 10""")
 def ivf_search(spark, d):
-    v = vectors_of(spark, d)
-    return ann.ivf_search(v, ann.route(v, RATE), query_vector(spark, d), 10, PROBES)
+    return vector_index_of(spark, d).ivf(query_vector(spark, d), 10, PROBES)
+
+
+@query(f"WITH {SQL_ROUTE} SELECT centroid_id, count(*) AS n FROM routed GROUP BY centroid_id")
+def centroid_lists(spark, d):
+    """The stored inverted lists."""
+    return vector_index_of(spark, d).table("cards").groupBy("centroid_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _centers(spark, d):
@@ -259,8 +285,8 @@ def kmeans_step(spark, d):
 @query()
 def pq_search(spark, d):
     v = vectors_of(spark, d)
-    pq = ann.ProductQuantizer.train(v, 64, 8, 16)
-    return pq.search(v.select("id", pq.encode(F.col("vector")).alias("codes")), query_vector(spark, d), 10).select("id", "distance")
+    pq = ann.ProductQuantizer.train(v, 64, 16, 256)
+    return pq.search(pq.encoded(v), query_vector(spark, d), 10).select("id", "distance")
 
 
 # Hybrid search and fusion
@@ -268,20 +294,21 @@ def pq_search(spark, d):
 
 @query(f"{SQL_CAND}, {SQL_RANKED.format(where="WHERE lang = 'en'")} SELECT id, bm25, cosine, lex_rank, sem_rank, fused FROM fused ORDER BY fused DESC, id LIMIT 10")
 def hybrid_rrf(spark, d):
-    return search.hybrid_search(corpus_of(spark, d), TEXT, query_vector(spark, d), {"lang": "en"}, 10)
+    return index_of(spark, d).hybrid(TEXT, query_vector(spark, d), {"lang": "en"}, 10)
 
 
 @query(f"{SQL_CAND}, {SQL_RANKED.format(where='')}, top AS (SELECT * FROM fused ORDER BY fused DESC, id LIMIT 10) SELECT id, fused FROM top ORDER BY fused DESC, id LIMIT 4 OFFSET 3")
 def hybrid_page(spark, d):
-    top = search.hybrid_search(corpus_of(spark, d), TEXT, query_vector(spark, d), None, search.clamp_k(0))
+    top = index_of(spark, d).hybrid(TEXT, query_vector(spark, d), None, search.clamp_k(0))
     return search.page(top, 3, 4).select("id", "fused")
 
 
 @query(f"""{SQL_CAND}, {SQL_RANKED.format(where='')}, top AS (SELECT *, row_number() OVER (ORDER BY fused DESC, id) AS rn FROM fused ORDER BY fused DESC, id LIMIT 5)
 SELECT string_agg('[' || rn || '] ' || text, E'\\n\\n' ORDER BY rn) AS context, count(*) AS n_citations FROM top""")
 def rag_context(spark, d):
-    corpus = corpus_of(spark, d)
-    return search.rag(corpus, search.hybrid_search(corpus, TEXT, query_vector(spark, d), None, search.clamp_k(0, 5, None)))[1]
+    index = index_of(spark, d)
+    top = index.hybrid(TEXT, query_vector(spark, d), None, search.clamp_k(0, 5, None))
+    return search.rag(index.with_text(top), top)[1]
 
 
 SQL_PARTED = """p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bm25 DESC, id) AS lr, row_number() OVER (PARTITION BY source ORDER BY cosine DESC, id) AS sr FROM cand),
@@ -291,17 +318,49 @@ t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY fused DESC, id)
 
 @query(f"{SQL_CAND}, {SQL_PARTED}, m AS (SELECT id, source, row_number() OVER (ORDER BY fused DESC, source, id) AS position FROM t WHERE rk <= 10) SELECT id, source, position, round(1.0::DOUBLE / (60 + position), 9) AS score FROM m WHERE position <= 10")
 def collection_rrf(spark, d):
-    return search.collection_search(corpus_of(spark, d), TEXT, query_vector(spark, d), 10, "source")
+    return search.collections_merged(index_of(spark, d).candidates(TEXT, query_vector(spark, d), keep=["source"]), 10, "source")
 
 
 @query(f"""{SQL_CAND}, {SQL_PARTED}, l AS (SELECT id % 100 AS id, source, rk, bm25 FROM t WHERE rk <= 10)
 SELECT id, round(sum(1.0::DOUBLE / (60 + rk)), 9) AS fused, max(bm25) AS bm25 FROM l GROUP BY id ORDER BY 2 DESC, 1 LIMIT 10""")
 def shard_merge_rrf(spark, d):
-    scored = search.candidates(corpus_of(spark, d), TEXT, query_vector(spark, d)).select("id", "source", "bm25", "cosine")
-    lists = search.rrf(scored, 10, ["source"]).select((F.col("id") % 100).alias("id"), F.col("source").alias("shard_id"), F.col("position").alias("rank"), "bm25")
+    lists = fusion.best(index_of(spark, d).candidates(TEXT, query_vector(spark, d), keep=["source"]), 10, "source")
+    lists = lists.select((F.col("id") % 100).alias("id"), F.col("source").alias("shard_id"), F.col("position").alias("rank"), "bm25")
     return search.shard_merge(lists, 10)
 
 
+@query()
+def offline_build(spark, d):
+    """The whole search index, as every search reads it: rows of each of its tables."""
+    index = index_of(spark, d)
+    counts = [index.table(t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("rows")) for t in ("cards", "postings", "dictionary", "texts", "suggest")]
+    return reduce(DataFrame.unionByName, counts)
+
+
+SQL["offline_build"] = f"""WITH t AS (SELECT doc_id, unnest({SQL_TOKENS.format("text")}) AS term FROM documents), {SQL_SUGGEST.removeprefix("WITH ")}
+SELECT 'cards' AS name, count(*) AS rows FROM documents UNION ALL SELECT 'texts', count(*) FROM documents UNION ALL SELECT 'suggest', count(*) FROM dict
+UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT doc_id, term FROM t) UNION ALL SELECT 'dictionary', count(DISTINCT term) FROM t"""
+
+
+@query(f"""WITH qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {RATE} = 0),
+s AS (SELECT query_id, vec_id AS id, {SQL_COS} AS score FROM qs, embeddings)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def batch_knn(spark, d):
+    """Every vector whose id is divisible by 50 asks for its ten nearest among all."""
+    v = vectors_of(spark, d)
+    return vector_index_of(spark, d).vector_batch(v.where(F.col("id") % RATE == 0).select(F.col("id").alias("query_id"), "vector"), 10)
+
+
+@query(f"""WITH d AS (SELECT doc_id, {SQL_TOKENS.format("text")} AS tk FROM documents), l AS (SELECT doc_id, len(tk) AS dl FROM d),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tk) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), qs AS (SELECT DISTINCT item_id AS query_id, unnest({SQL_TOKENS.format("text")}) AS term FROM benchmark),
+s AS (SELECT query_id, doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf::DOUBLE / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM qs JOIN t USING (term) JOIN df USING (term) JOIN l USING (doc_id), st GROUP BY ALL)
+SELECT query_id, id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def batch_bm25(spark, d):
+    """Every text of the benchmark as a query, in one plan."""
+    return index_of(spark, d).text_batch(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
 # Evaluation
 
 

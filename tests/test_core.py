@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
 from rankweave.functions import vectors as V
-from rankweave.operators import ann, chunking, evaluate, lexicon, lifecycle, routing, search
+from rankweave.operators import ann, chunking, evaluate, fusion, index, lexicon, lifecycle, routing, search
 from rankweave.sources import connectors, html, relational
 from rankweave.streaming import ingest
 
@@ -40,12 +40,68 @@ def test_rrf_values(spark):
     assert search.rrf(df.where("id = 1"), 5).first()["fused"] == pytest.approx(2 / 61)
 
 
-def test_rank_without_one_task(spark):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fusion_counts_ranks_exactly(spark, kind):
     rng = random.Random(1)
-    df = spark.createDataFrame([(i, rng.choice([0.0, 0.0, 1.5, rng.random() * 9])) for i in range(3000)], "id long, s double")
-    got = search.rank_of(df, "s", "r").collect()
-    want = {i: n for n, (_, i) in enumerate(sorted((-r.s, r.id) for r in got), 1)}
-    assert all(r.r == want[r.id] for r in got)
+    name = (lambda i: i) if kind == "long" else (lambda i: f"d{i}")
+    rows = [(name(i), rng.choice("xyz"), rng.choice([0.0, 0.0, 1.5, round(rng.random() * 9, 1)]), round(rng.random(), 2)) for i in range(3000)]
+    df = spark.createDataFrame(rows, f"id {kind}, source string, bm25 double, cosine double").repartition(5)
+
+    def naive(some):
+        lex = {r[0]: n for n, r in enumerate(sorted(some, key=lambda r: (-r[2], r[0])), 1)}
+        sem = {r[0]: n for n, r in enumerate(sorted(some, key=lambda r: (-r[3], r[0])), 1)}
+        order = sorted((-round(1 / (60 + lex[r[0]]) + 1 / (60 + sem[r[0]]), 9), r[0]) for r in some)
+        return [(i, lex[i], sem[i]) for _, i in order]
+
+    for k in (1, 7, 40):
+        assert [(r.id, r.lex_rank, r.sem_rank) for r in fusion.best(df, k).collect()] == naive(rows)[:k]
+    got = {(r.source, r.position): (r.id, r.lex_rank, r.sem_rank) for r in fusion.best(df, 5, "source").collect()}
+    assert got == {(s, n): x for s in "xyz" for n, x in enumerate(naive([r for r in rows if r[1] == s])[:5], 1)}
+    assert fusion.best(df.limit(0), 3).count() == 0 and fusion.best(df, 5000).count() == 3000
+
+
+def test_rerank(spark):
+    df = spark.createDataFrame([(i, f"text {i}", [float(i), 1.0]) for i in range(30)], "id long, text string, vector array<float>")
+    plain = [r.id for r in search.hybrid_search(df, "text", [1.0, 0.0], k=5).collect()]
+    asked = []
+
+    def backwards(texts):
+        asked.append(texts)
+        return range(len(texts) - 1, -1, -1)
+
+    got = search.hybrid_search(df, "text", [1.0, 0.0], k=5, rerank=backwards, depth=8).orderBy("position").collect()
+    wide = [r.id for r in search.hybrid_search(df, "text", [1.0, 0.0], k=8).collect()]
+    assert [r.id for r in got] == wide[::-1][:5] and asked == [[f"text {i}" for i in wide]]
+    for bad in (lambda t: [0] * len(t), lambda t: 1 / 0, lambda t: [0]):
+        assert [r.id for r in search.hybrid_search(df, "text", [1.0, 0.0], k=5, rerank=bad, depth=8).orderBy("position").collect()] == plain
+
+
+def test_query_terms_split_as_texts_do(spark):
+    for text in ("x² a_b ½ Été 3,14 naïve①", "日本 ١٢ Ⅷ"):
+        assert search.query_terms(text) == one(spark, F.array_distinct(T.tokens(F.lit(text))))
+
+
+def test_index(spark, tmp_path):
+    data, df = vectors(spark)
+    corpus = df.withColumns({"text": F.concat(F.lit("word"), F.col("id") % 7, F.lit(" golang "), F.repeat(F.lit("go "), F.col("id").cast("int") % 3)), "lang": F.when(F.col("id") % 2 == 0, "a").otherwise("b")})
+    corpus = corpus.unionByName(spark.createDataFrame([(1000, None, None, "a"), (1001, "golang alone", None, None)], "id long, text string, vector array<float>, lang string"))
+    ix = index.SearchIndex.build(corpus, f"file://{tmp_path}/ix", rate=20)
+    assert index.SearchIndex.exists(spark, f"file://{tmp_path}/ix") and not index.SearchIndex.exists(spark, f"file://{tmp_path}/no")
+    assert ix.manifest["n"] == 402 and ix.manifest["lists"] == 20 and ix.warm_up() > 402
+    q = data[7].tolist()
+    for text, filters in (("go golang", None), ("go golang", {"lang": "b"}), ("", {"lang": "a"}), ("nothing", None)):
+        want = [tuple(r) for r in search.text_search(corpus, text, filters, 12, 2).select("id", "bm25").collect()]
+        assert [(r.id, r.bm25) for r in ix.text_search(text, filters, 12, 2).collect()] == want
+    want = [tuple(r) for r in search.hybrid_search(corpus, "go golang", q, {"lang": "a"}, 9).collect()]
+    assert [tuple(r) for r in ix.hybrid("go golang", q, {"lang": "a"}, 9).select("id", "bm25", "cosine", "lex_rank", "sem_rank", "fused").collect()] == want
+    exact = [r.id for r in search.knn(df, q, 10).collect()]
+    assert [r.id for r in ix.ivf(q, 10, 20).collect()] == exact
+    assert [r.id for r in ix.bbq(q, 10, ef=402).collect()] == exact and len({r.id for r in ix.bbq(q, 10).collect()} & set(exact)) >= 5
+    many = ix.vector_batch(df.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
+    for i in (0, 150):
+        assert [r.id for r in many.where(f"query_id = {i}").orderBy("rank").collect()] == [r.id for r in search.knn(df, data[i].tolist(), 10).collect()]
+    assert ix.hybrid("go", q, k=3, rerank=lambda t: range(len(t) - 1, -1, -1)).count() == 3
+    assert index.probe_count(10) == 5 and index.probe_count(400) == 40 and index.probe_count(9999) == 100
 
 
 def test_bm25_contract(spark):
@@ -81,14 +137,31 @@ def test_ann_recall_floors(spark):
     exact = {r.id for r in search.knn(df, q, 10).collect()}
     routed = ann.route(df, 20).cache()
     assert routed.count() == 400 and routed.where("is_centroid").count() == 20
-    assert {r.id for r in ann.ivf_search(df, routed, q, 10, 20).collect()} == exact
+    far = 1 - (data @ data[::20].T) / np.linalg.norm(data, axis=1)[:, None] / np.linalg.norm(data[::20], axis=1)
+    assert all(r.centroid_id == 20 * int(np.round(far[r.id], 6).argmin()) for r in routed.where("NOT is_centroid").collect())
     assert len({r.id for r in ann.bbq_search(df, q, 10, ef=100).collect()} & exact) >= 5
     pq = ann.ProductQuantizer.train(df, 32, 8, 16)
-    coded = df.select("id", "vector", pq.encode(F.col("vector")).alias("codes"))
+    coded = df.join(pq.encoded(df), "id")
     row = coded.select(pq.adc(F.col("codes"), q).alias("a"), V.l2_squared(pq.decode(F.col("codes")), V.literal(q)).alias("b")).limit(20).collect()
     assert all(r.a == pytest.approx(r.b, rel=1e-6, abs=1e-6) for r in row)
     with pytest.raises(ValueError):
         ann.ProductQuantizer.train(df, 32, 5, 16)
+    with pytest.raises(ValueError):
+        ann.ProductQuantizer.train(df.limit(9), 32, 8, 16)
+
+
+def test_pq_recall_floor(spark):
+    """2,000 vectors of 64 dimensions, 16 sub-spaces of 256 words: half of the ten nearest at least."""
+    rng = np.random.default_rng(42)
+    data = rng.normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vector array<float>").repartition(4).cache()
+    pq = ann.ProductQuantizer.train(df, 64, 16, 256)
+    coded, recalls = pq.encoded(df).cache(), []
+    for _ in range(8):
+        q = rng.normal(size=64)
+        exact = set(np.argsort(((data - q) ** 2).sum(axis=1))[:10].tolist())
+        recalls.append(len(exact & {r.id for r in pq.search(coded, q.tolist(), 10).collect()}) / 10)
+    assert np.mean(recalls) >= 0.5
 
 
 def test_ring(spark):
