@@ -40,10 +40,16 @@ def url_host(url: Column) -> Column:
 
 
 def duration_seconds(text: Column) -> Column:
-    """'1h30m', '45s', '250ms' -> seconds; null where the text is not a duration."""
-    amount = lambda unit: F.coalesce(F.try_element_at(F.regexp_extract_all(text, F.lit(rf"(\d+(?:\.\d+)?){unit}"), F.lit(1)), F.lit(1)).cast("double"), F.lit(0.0))
-    total = amount("h") * 3600 + amount("m(?!s)") * 60 + amount("(?<!m)s") + amount("ms") / 1000
-    return F.when(text.rlike(r"^(\d+(\.\d+)?(h|ms|m|s))+$"), total)
+    """'1h30m', '45s', '250ms', '-1.5h', '.5s', '2us', '7ns', '0' -> seconds; null where the text is not a duration."""
+    body = F.regexp_replace(text, "^[+-]", "")
+    number = r"(\d+\.?\d*|\.\d+)"
+    units = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
+    parts = F.regexp_extract_all(body, F.lit(number + "(ns|us|µs|μs|ms|s|m|h)"), F.lit(0))
+    table = F.create_map(*[F.lit(x) for kv in units.items() for x in kv])
+    amount = lambda p: F.regexp_extract(p, "^" + number, 1).cast("double") * F.element_at(table, F.regexp_replace(p, r"^[\d.]+", ""))
+    total = F.aggregate(F.transform(parts, amount), F.lit(0.0), lambda a, x: a + x)
+    sign = F.when(text.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    return F.when(body == "0", F.lit(0.0)).when(body.rlike(f"^({number}(ns|us|µs|μs|ms|s|m|h))+$"), sign * total)
 
 
 def cache_key(tenant: Column, query: Column, filters: Column, k: Column) -> Column:
@@ -98,7 +104,7 @@ def _highlight(content: str, terms: set[str], fragments: int, width: int) -> lis
 
 def highlight(content: Column, query: str, fragments: int = 3, width: int = 150) -> Column:
     """Up to `fragments` pieces of about `width` code points around the query's terms, marked."""
-    terms = {t.lower() for t in re.findall(r"[^\W_]+", query)}
+    terms = {t.lower() for t in re.findall(r"[^\W_]+", query)}  # words of the marked text are found the same way
 
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

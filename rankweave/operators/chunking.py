@@ -54,12 +54,20 @@ def semantic_chunks(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     return step.groupBy("doc", "chunk").agg(F.array_join(F.transform(parts, lambda p: p["sentence"]), " ").alias("text"), F.count(F.lit(1)).alias("n"))
 
 
+def fixed_pieces(text: Column, max_tokens: int) -> Column:
+    """Runs of max_tokens blank-separated words; none of a text without words."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+    def cut(words: Column) -> Column:
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(max_tokens))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(max_tokens)), " "))
+
+    return F.element_at(F.transform(F.array(words), cut), 1)  # the words are split once
+
+
 def fixed_chunks(docs: DataFrame, max_tokens: int) -> DataFrame:
-    """docs (doc, text) -> doc, chunk, text: runs of max_tokens blank-separated words."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(max_tokens))).otherwise(F.array().cast("array<int>"))
-    pieces = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(max_tokens)), " "))
-    return docs.select("doc", F.posexplode(pieces).alias("chunk", "text"))
+    """docs (doc, text) -> doc, chunk, text."""
+    return docs.select("doc", F.posexplode(fixed_pieces(F.col("text"), max_tokens)).alias("chunk", "text"))
 
 
 def syntax_chunks(source: str, language: str = "python") -> list[str]:

@@ -26,8 +26,15 @@ def suggest_dictionary(docs: DataFrame) -> DataFrame:
     return docs.select("tenant", F.explode(terms).alias("t")).groupBy("tenant", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("weight"))
 
 
+def map_facets(rows: DataFrame, fields: Sequence[str], column: str = "metadata") -> DataFrame:
+    """field, value, n of the non-empty values of these keys of a map."""
+    pairs = rows.select(F.explode(F.map_filter(column, lambda k, v: k.isin(list(fields)) & (v != ""))).alias("field", "value"))
+    return pairs.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def suggest(dictionary: DataFrame, prefix: str, tenant: str | None = None, n: int = 10) -> DataFrame:
-    """A tenant sees its own terms only; without one all tenants are summed."""
+    """A tenant sees its own terms only; without one all tenants are summed. At most 50, ten where none are asked for."""
+    n = min(n, 50) if n > 0 else 10
     rows = dictionary.where(F.col("tenant") == tenant) if tenant else dictionary
     found = rows.where(F.col("term").startswith(prefix.lower())).groupBy("term").agg(F.sum("weight").alias("weight"))
     return found.orderBy(F.col("weight").desc(), "term").limit(n)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import exists
 from .ann import route
 
 MAX_COLLECTIONS = 100
@@ -23,14 +24,21 @@ def latest(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> Data
     return rows.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn")
 
 
-def upsert(corpus: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    return corpus.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
+def upsert(corpus: DataFrame, changes: DataFrame, key: str = "id", order: Sequence[Column] = ()) -> DataFrame:
+    """Changes replace rows of their key. Of changes that repeat a key the last in `order` (columns, the largest
+    last) counts; rows that are equal in it, or all where none is given, are told apart by their content."""
+    content = F.xxhash64(*[c for c, kind in changes.dtypes if "map<" not in kind])
+    last = latest(changes, [key], [*[c.desc() for c in order], content.desc()])
+    return corpus.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def apply_changes(corpus: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """changes carry `action` (upsert or delete) and emitted_at; the last change of a key counts, deletes take effect."""
-    last = latest(changes, [key], [F.col("emitted_at").desc()])
-    return corpus.join(last.select(key), key, "left_anti").unionByName(last.where("action <> 'delete'").drop("action", "emitted_at"), allowMissingColumns=True)
+    """changes carry `action` (upsert or delete), emitted_at and, to break ties of it, `arrival` where there is one;
+    the last change of a key counts, deletes take effect. Changes that tie in both are ordered by content, a delete last."""
+    arrival = [F.col("arrival").desc()] if "arrival" in changes.columns else []
+    content = F.xxhash64(*[c for c, kind in changes.dtypes if "map<" not in kind])
+    last = latest(changes, [key], [F.col("emitted_at").desc(), *arrival, F.col("action"), content.desc()])
+    return corpus.join(last.select(key), key, "left_anti").unionByName(last.where("action <> 'delete'").drop("action", "emitted_at", "arrival"), allowMissingColumns=True)
 
 
 def replace_by_url(corpus: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -107,13 +115,45 @@ def valid_collection(name: str) -> bool:
 
 
 class Catalog:
-    """Collections with owner, status and connectors; a small state that the driver keeps."""
+    """Collections with owner, status and connectors, and aliases: a small state that the driver keeps and stores."""
 
     MOVES = {("active", "paused"), ("paused", "active"), ("active", "deleting"), ("paused", "deleting"), ("error", "active"), ("active", "error")}
 
     def __init__(self, rows: Sequence[dict] = ()):
         self.rows = {r["id"]: dict(r) for r in rows if r["status"] != "deleting"}
         self.rows.setdefault(DEFAULT_COLLECTION, {"id": DEFAULT_COLLECTION, "tenant": "", "status": "active", "config": {}, "connectors": []})
+        self.aliases: dict[str, dict] = {}
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str) -> Catalog:
+        """The newest stored state; collections that were being deleted are gone."""
+        if not exists(spark, root):
+            return cls()
+        row = spark.read.schema("at long, body string").json(root).orderBy(F.col("at").desc()).first()
+        state = json.loads(row["body"])
+        out = cls(state["collections"])
+        out.aliases = state["aliases"]
+        return out
+
+    def store(self, spark: SparkSession, root: str) -> None:
+        last = spark.read.schema("at long, body string").json(root).agg(F.max("at")).first()[0] if exists(spark, root) else None
+        body = json.dumps({"collections": list(self.rows.values()), "aliases": self.aliases}, sort_keys=True)
+        spark.range(1).select(F.lit((last or 0) + 1).cast("long").alias("at"), F.lit(body).alias("body")).coalesce(1).write.mode("append").json(root)
+
+    def set_alias(self, name: str, shards: Sequence[str], filters: Mapping[str, str] | None = None) -> dict:
+        """Create an alias, or swap what it points to in one step."""
+        if not valid_collection(name) or not shards:
+            raise ValueError("an alias needs a valid name and shards")
+        self.aliases[name] = {"shards": list(shards), "filters": dict(filters or {})}
+        return self.aliases[name]
+
+    def resolve_alias(self, name: str, user: Mapping[str, str] | None = None) -> tuple[list[str], dict[str, str]]:
+        """Shards of an alias, and its filters under those of the caller."""
+        found = self.aliases[name]
+        return list(found["shards"]), alias_filters(found["filters"], user or {})
+
+    def delete_alias(self, name: str) -> None:
+        del self.aliases[name]
 
     def create(self, name: str, tenant: str = "", config: dict | None = None) -> dict:
         if not valid_collection(name):

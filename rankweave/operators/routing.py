@@ -47,6 +47,13 @@ def replicas(nodes: Sequence[str], key_hash: int, arcs: Sequence[tuple[int, int,
     return out
 
 
+def addresses(shards: DataFrame, nodes: DataFrame) -> DataFrame:
+    """shards (shard_id, replicas), nodes (node, address) -> shard_id, node, address of each shard's primary, its
+    first replica; shards without one, or whose primary is unknown, are left out. Both tables are a cluster's size."""
+    primary = shards.select("shard_id", F.get("replicas", F.lit(0)).alias("node")).where("node IS NOT NULL")
+    return primary.join(nodes, "node").select("shard_id", "node", "address")
+
+
 def build_shards(corpus: DataFrame, nodes: Sequence[str], path: str, key: str = "id") -> DataFrame:
     """Write the corpus by shard_id and return (shard_id, n)."""
     keyed = corpus.withColumn("__key", F.col(key).cast("string"))

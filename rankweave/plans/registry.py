@@ -6,15 +6,19 @@ Every query runs over its whole tables. Where a limit stands, it is the top k of
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Config as EngineConfig
+from ..engine import Engine, stamped
+from ..functions import network
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import ann, chunking, evaluate, fusion, lexicon, lifecycle, routing, search
+from ..operators import ann, chunking, embed, evaluate, fusion, lexicon, lifecycle, routing, search
 from ..operators.index import SearchIndex
 from ..sources import html, relational
 from ..sources.shared import shared_dir
@@ -522,9 +526,15 @@ def html_markdown(spark, d):
     return table(spark, d, "pages").select("page_id", html.markdown(F.col("html")).alias("markdown"))
 
 
-@query()
+@query("""SELECT page_id, pos::INT AS pos, CASE pos WHEN 0 THEN 'https://out.example.com/' || page_id WHEN 1 THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/up/' || page_id ELSE 'ftp://files.example.com/a' END AS link FROM pages, range(0, 3) t(pos)""")
 def outlinks(spark, d):
-    return table(spark, d, "pages").select("page_id", F.posexplode(html.outlinks(F.col("html"), F.col("url"))).alias("pos", "link"))
+    """The links of the pages lie in what is pruned, so each gets a paragraph with six links, of which three count."""
+    links = F.concat(
+        F.lit("<p><a href='https://out.example.com/"), "page_id", F.lit("'>o</a><a href='javascript:x()'>j</a><a href='#top'>t</a><a href='/up/"), "page_id",
+        F.lit("'>u</a><a href='mailto:a@b.c'>m</a><a>none</a><a href='ftp://files.example.com/a'>f</a></p><nav><a href='/pruned'>n</a></nav>"),
+    )
+    whole = F.concat("html", links)
+    return table(spark, d, "pages").select("page_id", F.posexplode(html.outlinks(whole, F.col("url"))).alias("pos", "link"))
 
 
 @query()
@@ -546,34 +556,27 @@ def domain_filter(spark, d):
     return hosts.where("host IS NOT NULL").join(blocked, "host", "left_anti").join(allowed, "host", "left_semi").select("page_id", "host")
 
 
-# Address ranges that no crawl may reach.
-CIDRS = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
-
-
-def blocked_address(ip):
-    """Whether a dotted IPv4 address (or one mapped into IPv6) lies in a blocked range; what is no address is blocked."""
-    import ipaddress
-
-    parts = F.split(F.regexp_replace(ip, "(?i)^::ffff:", ""), r"\.")
-    number = sum((F.get(parts, F.lit(i)).try_cast("long") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0).cast("long"))
-    nets = [ipaddress.ip_network(c) for c in CIDRS]
-    inside = F.lit(False)
-    for n in nets:
-        inside = inside | number.between(int(n.network_address), int(n.broadcast_address))
-    return F.coalesce(inside, F.lit(True)) | (F.size(parts) != 4)
-
-
 def _sql_blocked(number: str) -> str:
     import ipaddress
 
-    return " OR ".join(f"{number} BETWEEN {int(n.network_address)} AND {int(n.broadcast_address)}" for n in map(ipaddress.ip_network, CIDRS))
+    return " OR ".join(f"{number} BETWEEN {int(n.network_address)} AND {int(n.broadcast_address)}" for n in map(ipaddress.ip_network, network.BLOCKED_V4))
 
 
-@query(f"SELECT event_id, {_sql_blocked('((event_id * 2654435761) & 4294967295)')} AS blocked FROM events")
+@query(f"""SELECT event_id, 4 AS family, {_sql_blocked('((event_id * 2654435761) & 4294967295)')} AS blocked FROM events
+UNION ALL SELECT event_id, 6, h = 0 OR h >> 9 = 126 OR h >> 6 = 1018 OR h >> 8 = 255 FROM (SELECT event_id, (event_id * 40503) & 65535 AS h FROM events)""")
 def ssrf_guard(spark, d):
+    e = table(spark, d, "events").select("event_id")
     n = (F.col("event_id") * 2654435761).bitwiseAND(F.lit(4294967295).cast("long"))
-    ip = F.concat_ws(".", *[F.shiftrightunsigned(n, s).bitwiseAND(F.lit(255).cast("long")).cast("string") for s in (24, 16, 8, 0)])
-    return table(spark, d, "events").select("event_id", blocked_address(ip).alias("blocked"))
+    v4 = F.concat_ws(".", *[F.shiftrightunsigned(n, s).bitwiseAND(F.lit(255).cast("long")).cast("string") for s in (24, 16, 8, 0)])
+    v6 = F.concat(F.lower(F.hex((F.col("event_id") * 40503).bitwiseAND(F.lit(65535).cast("long")))), F.lit("::1"))
+    both = e.select("event_id", F.lit(4).alias("family"), v4.alias("ip")).unionByName(e.select("event_id", F.lit(6).alias("family"), v6.alias("ip")))
+    return both.select("event_id", "family", network.blocked_address(F.col("ip")).alias("blocked"))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'admin,delete,ingest,search' WHEN 1 THEN 'ingest,search' WHEN 2 THEN 'search' WHEN 3 THEN 'ingest,search' ELSE '' END AS scopes FROM customer""")
+def role_scopes(spark, d):
+    roles = F.element_at(F.array(*[F.array(*[F.lit(r) for r in rs]) for rs in (["admin"], ["writer"], ["reader"], ["reader", "writer"], ["nobody"])]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(network.scopes_of(roles), ",").alias("scopes"))
 
 
 @query("SELECT regexp_replace(url, '[?#].*$', '') AS url, min(page_id) AS page_id FROM pages GROUP BY 1")
@@ -617,9 +620,14 @@ def mime_types(spark, d):
 # Streaming forms in batch
 
 
-@query("SELECT user_id, min(event_id) AS event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1 GROUP BY user_id")
+@query("""WITH RECURSIVE a(user_id, ts, event_id) AS (
+  SELECT user_id, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1
+  UNION ALL SELECT user_id, ts, event_id FROM (
+    SELECT e.user_id, e.ts, e.event_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS rn FROM events e JOIN a ON e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL 24 HOUR) WHERE rn = 1)
+SELECT user_id, event_id FROM a""")
 def idempotent_dedup(spark, d):
-    return ingest.first_by_key(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id")
+    """A key lives for 24 hours from the event that took it."""
+    return ingest.idempotent_batch(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id")
 
 
 @query("""SELECT user_id, count(*) AS gaps, max(gap) AS longest FROM (SELECT user_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1e6, 3) AS gap FROM events) WHERE gap > 86400 GROUP BY user_id""")
@@ -628,7 +636,12 @@ def heartbeat_gap(spark, d):
     return gaps.groupBy("user_id").agg(F.count("ts").alias("gaps"), F.max("gap_seconds").alias("longest"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+s(event_type, event_id, n, admitted, live) AS (
+  SELECT event_type, event_id, n, true, [t] FROM e WHERE n = 1
+  UNION ALL SELECT event_type, event_id, n, len(held) < 5, CASE WHEN len(held) < 5 THEN list_append(held, t) ELSE held END FROM (
+    SELECT e.event_type, e.event_id, e.n, e.t, list_filter(s.live, lambda x: x > e.t - 3600) AS held FROM s JOIN e ON e.event_type = s.event_type AND e.n = s.n + 1))
+SELECT event_id, event_type, admitted FROM s""")
 def rate_limit_window(spark, d):
     return ingest.rate_limited_batch(table(spark, d, "events"), "event_type", "ts", 5, 3600.0, "event_id")
 
@@ -666,16 +679,132 @@ def timestamp_layouts(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), T.any_timestamp(text, layouts).cast("timestamp_ntz").alias("at"))
 
 
-@query("SELECT i AS id, s AS seconds FROM (VALUES (0, 5400.0::DOUBLE), (1, 45.0), (2, 0.25), (3, NULL), (4, 93784.5)) t(i, s)")
+@query("SELECT i AS id, s AS seconds FROM (VALUES (0, 5400.0::DOUBLE), (1, 45.0), (2, 0.25), (3, NULL), (4, 93784.5), (5, 0.5), (6, -90.0), (7, 0.000002), (8, 0.0), (9, NULL)) t(i, s)")
 def durations(spark, d):
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in ("1h30m", "45s", "250ms", "soon", "26h3m4.5s")])).alias("id", "t"))
+    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in ("1h30m", "45s", "250ms", "soon", "26h3m4.5s", ".5s", "-1.5m", "2us", "0", "5")])).alias("id", "t"))
     return rows.select("id", T.duration_seconds(F.col("t")).alias("seconds"))
 
 
-@query("SELECT min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY text")
+SQL_HASH_VECTOR = """list_transform(range(0, {n}), lambda i: list_sum(list_transform([1, 9, 17, 25], lambda a: ('0x' || substr(md5(i || ':' || {t}), a, 8))::BIGINT)) / 4294967296.0::DOUBLE - 2.0::DOUBLE)"""
+
+
+class _Lengths(embed.Embedder):
+    """A stand-in for a service, which sees every distinct text once: lengths in code points and in bytes."""
+
+    dimension = 2
+
+    def embed_batch(self, texts):
+        return [[float(len(t)), float(len(t.encode()))] for t in texts]
+
+
+@query("SELECT doc_id AS id, length(text)::DOUBLE AS a, strlen(text)::DOUBLE AS b FROM documents")
 def embed_dedupe(spark, d):
-    """Each distinct text is embedded once; the rest join back by hash."""
-    return docs_of(spark, d).groupBy("text").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
+    """Each distinct text goes to the embedder once; its vector is joined back to every row by digest."""
+    rows = embed.embedded(docs_of(spark, d).select("id", "text"), _Lengths())
+    return rows.select("id", *[F.col("vector")[i].cast("double").alias(n) for i, n in enumerate("ab")])
+
+
+@query(f"""WITH v AS (SELECT item_id, {SQL_HASH_VECTOR.format(n=16, t="text")} AS raw FROM benchmark)
+SELECT item_id, i::INT AS i, round(raw[i + 1] / sqrt(list_sum(list_transform(raw, lambda x: x * x))), 5) AS x FROM v, range(0, 16) t(i)""")
+def hash_embedding(spark, d):
+    vector = embed.HashEmbedder(16).expression(F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", F.posexplode(vector).alias("i", "x")).withColumn("x", F.round("x", 5))
+
+
+@query("SELECT event_id AS id, (props ->> '$.k')::INT AS k, json_extract(props, '$.missing') IS NULL AS missing FROM events")
+def json_props(spark, d):
+    parsed = F.from_json("props", "k int, missing string")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), parsed["k"].alias("k"), parsed["missing"].isNull().alias("missing"))
+
+
+# Ingest, the catalog and the state of the engine
+
+
+def _records(spark, d):
+    """Documents as crawl records; every seventh source url comes twice, with a later text."""
+    docs = table(spark, d, "documents")
+    meta = F.create_map(F.lit("_tenant"), F.lit("forged"), F.lit("lang"), F.col("lang"), F.lit("_ttl"), F.when(F.col("doc_id") % 5 == 0, "1h").otherwise("9999h"))
+    base = docs.select(F.concat(F.lit("http://x/"), "doc_id").alias("url"), F.col("text").alias("content"), meta.alias("metadata"), F.col("doc_id").alias("crawled_at"), F.coalesce("source", F.lit("_default")).alias("collection_id"))
+    again = base.where(F.col("crawled_at") % 7 == 0).withColumns({"content": F.concat("content", F.lit(" again")), "crawled_at": F.col("crawled_at") + 1_000_000})
+    return base, again
+
+
+def _engine(spark, tokens: int = 300) -> Engine:
+    return Engine(spark, EngineConfig(f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}", embed.HashEmbedder(8), max_tokens=tokens), clock=lambda: 1_706_659_200)
+
+
+SQL_CHUNKS = r"""r AS (SELECT coalesce(source, '_default') AS collection_id, 'http://x/' || doc_id AS url, CASE WHEN doc_id % 7 = 0 THEN text || ' again' ELSE text END AS text, doc_id FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM r),
+chunks AS (SELECT collection_id, url, doc_id, (i // 300)::INT AS chunk_idx, array_to_string(list_slice(ws, i + 1, i + 300), ' ') AS text FROM (SELECT *, unnest(range(0, len(ws), 300)) AS i FROM w))"""
+
+
+@query(f"WITH {SQL_CHUNKS} SELECT collection_id, url, chunk_idx, text, {SQL_FNV.format("url || '#' || chunk_idx")} AS id, 'acme' AS tenant, 8 AS dimension FROM chunks")
+def ingest_pipeline(spark, d):
+    """Two batches; the second replaces the chunks of the urls it brings, and is sent twice."""
+    engine, (first, second) = _engine(spark), _records(spark, d)
+    engine.ingest(first, "acme", ("docs", 0))
+    for _ in range(2):
+        engine.ingest(second, "acme", ("docs", 1))
+    return engine.chunks.read().select("collection_id", "url", "chunk_idx", "text", "id", "tenant", F.size("vector").alias("dimension"))
+
+
+@query(f"WITH {SQL_CHUNKS} SELECT collection_id, count(*) AS n FROM chunks WHERE doc_id % 5 <> 0 AND collection_id <> 'src1' GROUP BY collection_id")
+def engine_expiry(spark, d):
+    """What an engine holds after a sweep of expired chunks, a delete by filter and a restored snapshot of both."""
+    engine, (first, second) = _engine(spark), _records(spark, d)
+    engine.ingest(first, "acme")
+    engine.ingest(second, "acme")
+    engine.clock = lambda: 1_706_659_200 + 7200
+    engine.sweep()
+    engine.delete_where({"collection_id": "src1"})
+    engine.chunks.snapshot("kept")
+    engine.delete_where({"tenant": "acme"})
+    engine.chunks.restore("kept")
+    return engine.chunks.read().groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT url, CASE WHEN doc_id % 7 = 0 THEN 'ERROR' WHEN rn > 1 THEN 'SKIPPED' ELSE 'OK' END AS status, count(*) AS n FROM (
+  SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN 'u' || (doc_id % 50) END AS url, row_number() OVER (PARTITION BY CASE WHEN doc_id % 7 <> 0 THEN doc_id % 50 ELSE -1 END ORDER BY doc_id) AS rn FROM documents) GROUP BY ALL""")
+def ingest_acks(spark, d):
+    body = F.to_json(F.struct(F.concat(F.lit("u"), F.col("id") % 50).alias("url"), F.lit("x").alias("content"), F.col("id").alias("crawled_at")))
+    parsed = ingest.parse(docs_of(spark, d).select(F.when(F.col("id") % 7 == 0, "{broken").otherwise(body).alias("value")))
+    return ingest.acks(parsed, "url", "crawled_at").groupBy("url", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey AS id, map_extract(m, '_tenant')[1] AS tenant, map_extract(m, 'seg')[1] AS seg FROM (SELECT c_custkey, MAP {'_tenant': 'acme', 'seg': c_mktsegment} AS m FROM customer)")
+def tenant_stamp(spark, d):
+    meta = F.create_map(F.lit("_tenant"), F.col("c_name"), F.lit("seg"), F.col("c_mktsegment"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), stamped(meta, "acme").alias("m")).select("id", F.col("m")["_tenant"].alias("tenant"), F.col("m")["seg"].alias("seg"))
+
+
+@query("SELECT s_suppkey AS shard_id, 'n' || s_nationkey AS node, n_name || ':9000' AS address FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 <> 0 AND s_nationkey % 5 <> 0")
+def shard_addresses(spark, d):
+    replicas = F.when(F.col("s_suppkey") % 4 != 0, F.array(F.concat(F.lit("n"), "s_nationkey"), F.lit("n0"))).otherwise(F.array().cast("array<string>"))
+    shards = table(spark, d, "supplier").select(F.col("s_suppkey").alias("shard_id"), replicas.alias("replicas"))
+    nodes = table(spark, d, "nation").where("n_nationkey % 5 <> 0").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat("n_name", F.lit(":9000")).alias("address"))
+    return routing.addresses(shards, nodes)
+
+
+@query("SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents WHERE lang <> '' GROUP BY lang UNION ALL SELECT 'even', 'yes', count(*) FROM documents WHERE doc_id % 2 = 0")
+def metadata_facets(spark, d):
+    meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("even"), F.when(F.col("id") % 2 == 0, "yes").otherwise(""), F.lit("other"), F.lit("x"))
+    return lexicon.map_facets(docs_of(spark, d).select(meta.alias("metadata")), ["lang", "even"])
+
+
+@query("""WITH last AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id), dead AS (SELECT user_id FROM last WHERE epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(seen) > 43200000000)
+SELECT DISTINCT 'u' || event_id AS url FROM events WHERE user_id IN (SELECT user_id FROM dead) AND event_id % 3 <> 0""")
+def reaper_requeue(spark, d):
+    e = table(spark, d, "events")
+    given = e.select("user_id", F.concat(F.lit("u"), "event_id").alias("url"), "event_id")
+    dead = ingest.dead_workers(e, "user_id", "ts", F.lit("2024-01-30 12:00:00").cast(dict(e.dtypes)["ts"]), 43200.0)
+    return ingest.requeued(given.drop("event_id"), given.where("event_id % 3 = 0"), dead, "user_id")
+
+
+@query("""WITH u AS (SELECT regexp_replace(url, '[?#].*$', '') AS url, min(page_id) AS page_id FROM pages GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY page_id, url) - 1 AS n FROM u ORDER BY page_id, url LIMIT 30)
+SELECT url, page_id, 'w' || (n % 3) AS worker FROM t""")
+def frontier_assign(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    return ingest.assigned(ingest.first_by_key(p, "url", "page_id"), ["w0", "w1", "w2"], "page_id", 10)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

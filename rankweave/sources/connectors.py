@@ -7,6 +7,7 @@ run without a network. `register` makes it a Spark data source: spark.read.forma
 from __future__ import annotations
 
 import json
+import os
 import random
 import time
 from abc import ABC, abstractmethod
@@ -38,6 +39,19 @@ class Record:
 class Connector(ABC):
     def __init__(self, options: dict, fetch: Fetch):
         self.options, self.fetch = options, fetch
+        #: Where the next run begins, by stream, if the service names it itself; set when a read has come to its end.
+        self.cursors: dict[str, str] = {}
+
+    @classmethod
+    def spec(cls) -> dict:
+        """What the connector needs, and what its records look like."""
+        return {"required": list(cls.required()), "schema": SCHEMA}
+
+    def discover(self) -> list[dict]:
+        return [{"stream": s, "schema": SCHEMA, "modes": ["full_refresh", "incremental"]} for s in self.streams()]
+
+    def close(self) -> None:
+        """Give back what the connector holds; nothing by default."""
 
     def validate(self) -> None:
         missing = [k for k in self.required() if not self.options.get(k)]
@@ -120,10 +134,11 @@ class Confluence(Connector):
             params = {"space-id": space} if space else {}
             pages = cursor_pages(lambda at, p=params: self.fetch(f"/api/v2/{stream}", p | ({"cursor": at} if at else {})), "results", lambda page: (page.get("_links") or {}).get("next"))
             for p in pages:
-                if cursor and p["createdAt"] <= cursor:
+                made = p.get("createdAt") or ""
+                if cursor and made <= cursor:
                     continue
                 body = ((p.get("body") or {}).get("storage") or {}).get("value", "")
-                yield Record(stream, str(p["id"]), f"<h1>{p['title']}</h1>{body}", f"{self.options['base_url']}{(p.get('_links') or {}).get('webui', '')}", "text/html", {"title": p["title"]}, emitted_at=p["createdAt"])
+                yield Record(stream, str(p["id"]), f"<h1>{p['title']}</h1>{body}", f"{self.options['base_url']}{(p.get('_links') or {}).get('webui', '')}", "text/html", {"title": p["title"]}, emitted_at=made)
 
 
 def document_text(node) -> str:
@@ -160,21 +175,32 @@ class Jira(Connector):
 
 @connector("drive")
 class Drive(Connector):
-    """Full list without a cursor, else the change list; removals become deletes."""
+    """Full list without a cursor, else the change list; removals become deletes. The token of the next run is
+    asked for before the first list and comes with the last page of changes."""
 
     def streams(self):
         return ["files"]
 
     def read(self, stream, cursor):
         if cursor:
-            for c in cursor_pages(lambda at: self.fetch("/changes", {"pageToken": at or cursor}), "changes", lambda p: p.get("nextPageToken")):
+            token = cursor
+
+            def following(page):
+                nonlocal token
+                token = page.get("newStartPageToken") or token
+                return page.get("nextPageToken")
+
+            for c in cursor_pages(lambda at: self.fetch("/changes", {"pageToken": at or cursor}), "changes", following):
                 if c.get("removed") or (c.get("file") or {}).get("trashed"):
                     yield Record(stream, c["fileId"], action="delete", emitted_at=c.get("time", ""))
                 else:
                     yield self._record(stream, c["file"])
+            self.cursors[stream] = token
             return
+        token = self.fetch("/changes/startPageToken", {})["startPageToken"]
         for f in cursor_pages(lambda at: self.fetch("/files", {"pageToken": at} if at else {}), "files", lambda p: p.get("nextPageToken")):
             yield self._record(stream, f)
+        self.cursors[stream] = token
 
     def _record(self, stream, f):
         export = f["mimeType"].startswith("application/vnd.google-apps")
@@ -210,12 +236,21 @@ class SharePoint(Connector):
         return [d for d in str(self.options.get("drives", "")).split(",") if d]
 
     def read(self, stream, cursor):
-        for item in cursor_pages(lambda at: self.fetch(at or cursor or f"/drives/{stream}/root/delta", {}), "value", lambda p: p.get("@odata.nextLink")):
+        link = cursor
+
+        def following(page):
+            nonlocal link
+            link = page.get("@odata.deltaLink") or link
+            return page.get("@odata.nextLink")
+
+        for item in cursor_pages(lambda at: self.fetch(at or cursor or f"/drives/{stream}/root/delta", {}), "value", following):
             if "deleted" in item:
                 yield Record(stream, item["id"], action="delete")
             elif "file" in item:
                 body = self.fetch(f"/drives/{stream}/items/{item['id']}/content", {})
                 yield Record(stream, item["id"], body.get("text", ""), item.get("webUrl", ""), item["file"].get("mimeType", ""), {"name": item.get("name", "")}, emitted_at=item.get("lastModifiedDateTime", ""))
+        if link:
+            self.cursors[stream] = link
 
 
 @connector("slack")
@@ -239,12 +274,17 @@ class Slack(Connector):
 
 @connector("twitter")
 class Twitter(Connector):
+    # Where each kind of stream is read.
+    KINDS = {"users": ("timeline", "/users/{}/tweets"), "searches": ("search", "/tweets/search/recent"), "lists": ("list", "/lists/{}/tweets")}
+
     def streams(self):
-        return [s for k in ("users", "searches", "lists") for s in str(self.options.get(k, "")).split(",") if s]
+        return [f"{kind}:{s}" for option, (kind, _) in self.KINDS.items() for s in str(self.options.get(option, "")).split(",") if s]
 
     def read(self, stream, cursor):
-        params = {"source": stream} | ({"since_id": cursor} if cursor else {})
-        for t in cursor_pages(lambda at: self.fetch("/tweets", params | ({"pagination_token": at} if at else {})), "data", lambda p: (p.get("meta") or {}).get("next_token")):
+        kind, _, name = stream.partition(":")
+        path = next(p for k, p in self.KINDS.values() if k == kind)
+        params = ({"query": name} if kind == "search" else {}) | ({"since_id": cursor} if cursor else {})
+        for t in cursor_pages(lambda at: self.fetch(path.format(name), params | ({"pagination_token": at} if at else {})), "data", lambda p: (p.get("meta") or {}).get("next_token")):
             yield Record(stream, t["id"], t["text"], f"https://twitter.com/i/status/{t['id']}", emitted_at=t["id"])
 
 
@@ -270,10 +310,65 @@ def sync(source: Connector, stream: str, state: dict, sink: Callable[[list[Recor
     if held:
         latest = next_cursor(held, latest, isinstance(source, Twitter))
         sink(held)
-    state[stream] = latest
+    state[stream] = source.cursors.get(stream, latest)  # the service's own cursor, where it names one
     return n
 
 
+class Jobs:
+    """Sync jobs with their state in one JSON file: cursors by stream, status, last run and error. A job is due
+    when its interval has passed; one without an interval runs once."""
+
+    def __init__(self, path: str, clock: Callable[[], float] = time.time):
+        self.path, self.clock = path, clock
+        try:
+            with open(path) as f:
+                self.state = json.load(f)
+        except FileNotFoundError:
+            self.state = {}
+
+    def _store(self) -> None:
+        with open(f"{self.path}.new", "w") as f:
+            json.dump(self.state, f, sort_keys=True)
+        os.replace(f"{self.path}.new", self.path)
+
+    def due(self, name: str, interval: float | None = None) -> bool:
+        last = self.state.get(name, {}).get("at")
+        return last is None or (interval is not None and self.clock() - last >= interval)
+
+    def run(self, name: str, source: Connector, sink: Callable[[list[Record]], None], mode: str = "incremental", collection: str | None = None) -> int:
+        """All streams of a source. A stream's cursor is stored once all of it went well; a failure ends the run
+        and leaves the cursors of the streams before it."""
+        job = self.state.setdefault(name, {"cursors": {}})
+        job |= {"status": "running", "at": self.clock(), "error": None}
+        self._store()
+        n = 0
+        try:
+            for stream in source.streams():
+                n += sync(source, stream, job["cursors"], sink, mode, collection)
+                self._store()
+            job["status"] = "done"
+        except Exception as e:
+            job |= {"status": "failed", "error": str(e)}
+            raise
+        finally:
+            source.close()
+            self._store()
+        return n
+
+
+class Pacer:
+    """At most `rate` calls a second."""
+
+    def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.gap, self.clock, self.sleep, self.next = 1.0 / rate, clock, sleep, 0.0
+
+    def wait(self) -> None:
+        now = self.clock()
+        if now < self.next:
+            self.sleep(self.next - now)
+        self.next = max(now, self.next) + self.gap
+
+
 @dataclass
 class _Stream(InputPartition):
     name: str
@@ -303,10 +398,14 @@ def _http(options: dict) -> Fetch:
     import urllib.parse
     import urllib.request
 
+    pace = Pacer(float(options.get("requests_per_second", 10)))
+    login = {"token": options.get("token")}
+
     def call(path: str, params: dict) -> tuple[int, dict]:
+        pace.wait()
         url = path if path.startswith("http") else options["base_url"] + path
         url += ("&" if "?" in url else "?") + urllib.parse.urlencode(params) if params else ""
-        head = {"Authorization": f"Bearer {options['token']}"} if options.get("token") else {}
+        head = {"Authorization": f"Bearer {login['token']}"} if login["token"] else {}
         try:
             with urllib.request.urlopen(urllib.request.Request(url, headers=head), timeout=30) as answer:
                 body = answer.read().decode("utf-8", "replace")
@@ -314,7 +413,14 @@ def _http(options: dict) -> Fetch:
         except urllib.error.HTTPError as e:
             return e.code, {}
 
-    return lambda path, params: with_retry(lambda: call(path, params))
+    def refresh() -> None:
+        """A new token by client credentials, where the options name where to ask."""
+        if options.get("token_url"):
+            form = {"grant_type": "client_credentials", "client_id": options["client_id"], "client_secret": options["client_secret"]}
+            with urllib.request.urlopen(urllib.request.Request(options["token_url"], urllib.parse.urlencode(form).encode()), timeout=30) as answer:
+                login["token"] = json.loads(answer.read())["access_token"]
+
+    return lambda path, params: with_retry(lambda: call(path, params), refresh=refresh)
 
 
 class ConnectorSource(DataSource):

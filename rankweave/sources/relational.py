@@ -19,10 +19,19 @@ def identifier(name: str, salesforce: bool = False) -> str:
 
 
 def read_table(spark: SparkSession, url: str, table: str, columns: Sequence[str], cursor: str | None = None, since: str | None = None, quote: str = '"', **options: str) -> DataFrame:
-    """JDBC scan of the given columns; the cursor predicate is pushed down."""
-    q = lambda c: f"{quote}{identifier(c)}{quote}"
-    rows = spark.read.format("jdbc").options(url=url, dbtable=q(table), **options).load().select(*[identifier(c) for c in columns])
-    return rows.where(F.col(cursor) > F.lit(since)) if cursor and since else rows
+    """JDBC scan of the given columns (options such as partitionColumn, lowerBound, upperBound and numPartitions
+    spread it over tasks); the cursor predicate is pushed down."""
+    rows = spark.read.format("jdbc").options(**jdbc_options(url, table, quote, **options)).load().select(*[identifier(c) for c in columns])
+    return rows.where(F.col(identifier(cursor)) > F.lit(since)) if cursor and since else rows
+
+
+def jdbc_options(url: str, table: str, quote: str = '"', **options: str) -> dict[str, str]:
+    """Options of a JDBC scan; MySQL quotes names by backticks. Bounds go together."""
+    quote = "`" if url.startswith("jdbc:mysql:") else quote
+    bounds = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
+    if bounds & set(options) and not bounds <= set(options):
+        raise ValueError(f"give all of {', '.join(sorted(bounds))}")
+    return {"url": url, "dbtable": f"{quote}{identifier(table)}{quote}", "fetchsize": "10000", **options}
 
 
 def records(rows: DataFrame, key: str, content: Sequence[str], cursor: str, since: Column | None = None, url: str | None = None, scheme: str = "sql", table: str = "t") -> DataFrame:

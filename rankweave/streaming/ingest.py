@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RECORD = "url string, content string, metadata map<string,string>, crawled_at bigint, collection_id string"
@@ -45,6 +46,61 @@ def first_by_key(events: DataFrame, key: str, *order: str) -> DataFrame:
     return events.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+def idempotent_batch(events: DataFrame, key: str, ts: str, row_id: str, life: float = 86400.0) -> DataFrame:
+    """The batch form: an event is new if no new one of its key came within `life` seconds before it. One sorted
+    pass; a key holds one time."""
+    return rate_limited_batch(events, key, ts, 1, life, row_id).where("admitted").drop("admitted")
+
+
+def acks(parsed: DataFrame, key: str, order: str) -> DataFrame:
+    """parsed records -> the same with status: ERROR what is unreadable, SKIPPED what repeats a key, else OK."""
+    keyed = F.col("error").isNull() & F.col(key).isNotNull()
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    told = parsed.where(keyed).withColumn("status", F.when(turn > 1, "SKIPPED").otherwise("OK"))
+    return told.unionByName(parsed.where(~keyed).withColumn("status", F.when(F.col("error").isNotNull(), "ERROR").otherwise("OK")))
+
+
+def dead_workers(beats: DataFrame, worker: str, ts: str, now: Column, silence: float = 9.0) -> DataFrame:
+    """Workers whose last beat is more than `silence` seconds before now."""
+    last = beats.groupBy(worker).agg(F.max(ts).alias("last_seen"))
+    return last.where((_micros(now) - _micros(F.col("last_seen"))) / F.lit(1e6) > silence)
+
+
+def requeued(assigned: DataFrame, acked: DataFrame, dead: DataFrame, worker: str) -> DataFrame:
+    """assigned (worker, url) that dead workers had not acknowledged: they go back to the frontier, once each."""
+    return assigned.join(dead.select(worker), worker, "left_semi").join(acked.select(worker, "url"), [worker, "url"], "left_anti").select("url").distinct()
+
+
+def to_topic(records: DataFrame, servers: str, topic: str) -> None:
+    """records (url, …) as JSON to a Kafka topic, keyed by url, so that a url keeps its partition and its order."""
+    rows = records.select(F.col("url").alias("key"), F.to_json(F.struct(*records.columns)).alias("value"))
+    rows.write.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all"}).save()
+
+
+class Progress(StreamingQueryListener):
+    """Rows, rates and lag of streams by name, as each batch ends."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.last: dict[str, dict] = {}
+
+    def onQueryStarted(self, event):
+        self.rows.setdefault(event.name or str(event.id), 0)
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        name = p.name or str(p.id)
+        self.rows[name] = self.rows.get(name, 0) + p.numInputRows
+        lags = [int(float(s.metrics["maxOffsetsBehindLatest"])) for s in p.sources if "maxOffsetsBehindLatest" in (s.metrics or {})]
+        self.last[name] = {"batch": p.batchId, "rows_per_second": p.processedRowsPerSecond, "lag": max(lags, default=0)}
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
 def heartbeat_gaps(beats: DataFrame, worker: str, ts: str, silence: float = 9.0) -> DataFrame:
     """worker, ts, gap_seconds of every beat that came after more than `silence` seconds."""
     before = F.lag(ts).over(Window.partitionBy(worker).orderBy(ts))
@@ -101,6 +157,14 @@ def frontier(urls: DataFrame, seen: DataFrame, order: str, most: int) -> DataFra
     return first_by_key(urls, "url", order).join(seen.select("url"), "url", "left_anti").orderBy(order, "url").limit(most)
 
 
+def assigned(frontier_rows: DataFrame, workers: Sequence[str], order: str, poll: int = 10) -> DataFrame:
+    """The first urls of a frontier dealt to workers in turn, `poll` to each at most: one poll of every worker."""
+    turn = F.row_number().over(Window.orderBy(order, "url")) - 1
+    names = F.array(*[F.lit(w) for w in workers])
+    rows = frontier_rows.orderBy(order, "url").limit(poll * len(workers))  # as many as the workers take
+    return rows.withColumn("worker", F.element_at(names, (turn % len(workers) + 1).cast("int")))
+
+
 def start(stream: DataFrame, checkpoint: str, write_good: Callable[[DataFrame, int], None], write_bad: Callable[[DataFrame, int], None]):
     """Run to the end of what is there. Writers get (rows, batch id) and must be idempotent by it."""
 

@@ -1,12 +1,17 @@
+import json
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from rankweave.engine import Config, Engine, ResultCache
+from rankweave.functions import network
 from rankweave.functions import text as T
 from rankweave.functions import vectors as V
-from rankweave.operators import ann, chunking, evaluate, fusion, index, lexicon, lifecycle, routing, search
+from rankweave.operators import ann, chunking, embed, evaluate, fusion, index, lexicon, lifecycle, routing, search, versions
 from rankweave.sources import connectors, html, relational
 from rankweave.streaming import ingest
 
@@ -252,16 +257,17 @@ def test_connectors(spark):
     assert [(r.id, r.action) for r in sp.read("d", None)] == [("1", "delete")]
     conf = connectors.Confluence({"base_url": "b"}, pages_fetch({"/api/v2/pages": [{"results": [{"id": 1, "title": "T", "createdAt": "2"}, {"id": 2, "title": "U", "createdAt": "1"}]}]}))
     assert [r.id for r in conf.read("pages", "1")] == ["1"]
-    tw = connectors.Twitter({"users": "u"}, pages_fetch({"/tweets": [{"data": [{"id": "9", "text": "a"}, {"id": "10", "text": "b"}]}]}))
+    tw = connectors.Twitter({"users": "u", "searches": "a b", "lists": "7"}, pages_fetch({"/users/u/tweets": [{"data": [{"id": "9", "text": "a"}, {"id": "10", "text": "b"}]}], "/tweets/search/recent": [{}], "/lists/7/tweets": [{"data": [{"id": "3", "text": "c"}]}]}))
     state = {}
-    connectors.sync(tw, "u", state, lambda r: None)
-    assert state == {"u": "10"}
+    assert tw.streams() == ["timeline:u", "search:a b", "list:7"]
+    assert [connectors.sync(tw, s, state, lambda r: None) for s in tw.streams()] == [2, 0, 1]
+    assert state == {"timeline:u": "10", "search:a b": None, "list:7": "3"}
     with pytest.raises(ValueError):
         connectors.sync(connectors.Jira({}, None), "issues", {}, print)
     answers = iter([(500, {}), (401, {}), (200, {"ok": 1})])
     assert connectors.with_retry(lambda: next(answers), sleep=lambda s: None) == {"ok": 1}
     connectors.register(spark)
-    rows = spark.read.format("connector").option("kind", "twitter").option("users", "u").option("pages", '{"/tweets": [{"data": [{"id": "1", "text": "x"}]}]}').load().collect()
+    rows = spark.read.format("connector").option("kind", "twitter").option("users", "u").option("pages", '{"/users/u/tweets": [{"data": [{"id": "1", "text": "x"}]}]}').load().collect()
     assert [(r.id, r.content) for r in rows] == [("1", "x")]
     with pytest.raises(ValueError):
         relational.identifier("a;drop")
@@ -300,3 +306,186 @@ def test_streams_equal_batches(spark, tmp_path):
 def test_admission():
     flags, _ = ingest.admit([0, 1, 2, 10, 10.5, 11], [], 2, 10)
     assert flags == [True, True, False, True, False, True]
+
+
+def test_embedders(spark):
+    texts = ["", "a", "Été ☃", None, "a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    hashed = embed.HashEmbedder(12)
+    got = [r.vector for r in embed.embedded(df, hashed).orderBy("id").collect()]
+    assert np.allclose(got, hashed.embed_batch([t or "" for t in texts]), atol=1e-6) and np.allclose(np.linalg.norm(got, axis=1), 1, atol=1e-5)
+    asked, answers = [], iter([(503, {})])
+
+    def post(url, body, head):
+        failed = next(answers, None)
+        if failed:
+            return failed
+        asked.append(body["input"])
+        return 200, {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(body["input"])))]}
+
+    service = embed.HttpEmbedder("http://e", "m", 2, "key", batch=2, post=post)
+    assert service.embed_batch(["x", "yy", "zzz"]) == [[1.0, 1.0], [2.0, 1.0], [3.0, 1.0]] and asked == [["x", "yy"], ["zzz"]]
+    with pytest.raises(ValueError):
+        embed.HttpEmbedder("http://e", "m", 3, post=post).embed("x")
+    assert len({tuple(v) for v in embed.HashEmbedder(64).embed_batch([f"t{i}" for i in range(50)])}) == 50
+
+
+def engine_of(spark, root, **options):
+    return Engine(spark, Config(f"file://{root}", embed.HashEmbedder(8), max_tokens=4, **options), clock=lambda: 1000)
+
+
+def test_engine_ingests_searches_and_forgets(spark, tmp_path):
+    e = engine_of(spark, tmp_path, hooks={"before_chunk": [lambda t: F.replace(t, F.lit("secret"), F.lit("***"))], "before_index": [F.upper]})
+    rows = [("a", "one two three four five secret", {"_tenant": "forged"}, 1, "c1"), ("b", "six seven", None, 1, "c2"), ("a", "older text", None, 0, "c1"), ("p", "<p>page <b>text</b></p><nav>n</nav>", {"mime_type": "text/html"}, 1, "c2")]
+    df = spark.createDataFrame(rows, "url string, content string, metadata map<string,string>, crawled_at long, collection_id string")
+    e.ingest(df, "acme", ("s", 4))
+    e.ingest(df.where("url = 'none'"), "acme", ("s", 3))
+    got = sorted((r.url, r.chunk_idx, r.text, r.tenant, r.metadata["_tenant"]) for r in e.chunks.read().collect())
+    assert got == [("a", 0, "ONE TWO THREE FOUR", "acme", "acme"), ("a", 1, "FIVE ***", "acme", "acme"), ("b", 0, "SIX SEVEN", "acme", "acme"), ("p", 0, "PAGE **TEXT**", "acme", "acme")]
+    for c in ("c1", "c2"):
+        e.catalog.create(c, "acme")
+    e.catalog.store(spark, f"file://{tmp_path}/catalog")
+    e.catalog.set_alias("all", ["c1", "c2"], {"lang": "en"})
+    e.catalog.set_alias("all", ["c2"], {"lang": "en"})
+    e.catalog.store(spark, f"file://{tmp_path}/catalog")
+    again = engine_of(spark, tmp_path).catalog
+    assert again.resolve_alias("all", {"lang": "de"}) == (["c2"], {"lang": "de"}) and len(again.list("acme")) == 2
+    found = e.search("seven", 2, "acme")
+    assert found["total"] == 2 and found["results"][0]["bm25"] > 0 and e.search("seven", 2, "acme", offset=1, page=5)["results"] == found["results"][1:]
+    assert e.stats()["cache_hits"] == 1 and e.search("seven", 2, "other")["total"] == 0
+    assert {r["collection_id"] for r in e.search("seven two", 5, "acme", ["c1", "c2", "gone"])["results"]} == {"c1", "c2"}
+    assert len(e.search("seven", 5, "acme", ["c2"])["results"]) == 2
+    with pytest.raises(KeyError):
+        e.search("seven", collections=["gone"])
+    rag = e.rag("seven", 1)
+    assert rag["context"] == "[1] SIX SEVEN" and len(rag["citations"]) == 1
+    assert e.delete_where({"url": "b"}) == 1 and e.delete_where({"url": "b"}) == 0 and e.search("seven", 9, "acme")["total"] == 3
+    assert e.delete_ids(e.chunks.read().where("chunk_idx = 1").select("id"), {"collection_id": "c1"}) == 1 and e.stats()["chunks"] == 2
+    assert e.chunks.vacuum() > 0 and e.stats()["chunks"] == 2
+    with pytest.raises(ValueError):
+        e.delete_where({})
+
+
+@pytest.mark.parametrize("chunker", ["semantic", "syntax"])
+def test_engine_chunkers(spark, tmp_path, chunker):
+    e = engine_of(spark, tmp_path, chunker=chunker, threshold=2.0)
+    text = "One here. Two there. Three." if chunker == "semantic" else "def a():\n  pass\nx = 1\nclass B:\n  pass"
+    e.ingest(spark.createDataFrame([("u", text, None, 1, "c"), ("v", "", None, 1, "c")], "url string, content string, metadata map<string,string>, crawled_at long, collection_id string"))
+    want = ["One here.", "Two there.", "Three."] if chunker == "semantic" else ["def a():\n  pass", "class B:\n  pass"]
+    assert [r.text for r in e.chunks.read().orderBy("chunk_idx").collect()] == want
+
+
+def test_stream_equals_batches(spark, tmp_path):
+    """Records of two files, one of them read again after its batch was taken in, give what one batch gives."""
+    src, listener = tmp_path / "in", ingest.Progress()
+    src.mkdir()
+    spark.streams.addListener(listener)
+    e = engine_of(spark, tmp_path / "e")
+    lines = [json.dumps({"url": f"u{i % 6}", "content": f"text number {i} and more words", "crawled_at": i}) for i in range(12)]
+    for n, part in enumerate((lines[:7] + ["{broken"], lines[7:] + ['{"url": "x", "content": ""}'])):
+        (src / f"{n}.txt").write_text("\n".join(part))
+        stream = spark.readStream.text(str(src))
+        e.stream(stream, str(tmp_path / "cp"), "feed", "acme").awaitTermination()
+    raw = spark.createDataFrame([(x,) for x in ["{broken"]], "value string")
+    e.ingest_raw(raw, "acme", ("feed", 1))
+    b = engine_of(spark, tmp_path / "b")
+    b.ingest(ingest.parse(spark.createDataFrame([(x,) for x in lines], "value string")).drop("error", "value"), "acme")
+    columns = ["collection_id", "url", "chunk_idx", "text", "tenant", "crawled_at"]
+    assert sorted(map(tuple, e.chunks.read().select(columns).collect())) == sorted(map(tuple, b.chunks.read().select(columns).collect()))
+    dead = spark.read.json(f"file://{tmp_path}/e/dead/*")
+    assert sorted(r.error for r in dead.collect()) == ["empty", "undecodable"] or dead.count() >= 2
+    deadline = time.time() + 20
+    while listener.rows.get("feed", 0) < 14 and time.time() < deadline:
+        time.sleep(0.2)
+    assert listener.rows["feed"] == 14 and listener.last["feed"]["lag"] == 0
+    spark.streams.removeListener(listener)
+
+
+def test_versions_detect_damage(spark, tmp_path):
+    t = versions.VersionedTable(spark, f"file://{tmp_path}/t", "k long, v string", ["k"], buckets=4)
+    t.replace(None, spark.createDataFrame([(i, "a") for i in range(9)], "k long, v string"))
+    t.replace(spark.createDataFrame([(1,), (None,)], "k long"), spark.createDataFrame([(1, "b"), (None, "n")], "k long, v string"), ("s", 1))
+    t.replace(spark.createDataFrame([(None,)], "k long"), None, ("s", 2))
+    assert sorted(map(str, t.read().collect())) == sorted(str(Row(k=i, v="b" if i == 1 else "a")) for i in range(9)) and t.manifest()["version"] == 3
+    assert t.replace(spark.createDataFrame([(2,)], "k long"), None, ("s", 2))["version"] == 3 and t.read().count() == 9
+    t.snapshot("s")
+    for p in (tmp_path / "t/snapshots/s/manifest").glob("part*"):
+        p.write_text(p.read_text().replace('"crc":', '"crc":1'))
+    for p in (tmp_path / "t/snapshots/s/manifest").glob(".*.crc"):
+        p.unlink()
+    with pytest.raises(versions.Damaged):
+        t.restore("s")
+
+
+def test_result_cache():
+    now = [0.0]
+    c = ResultCache(2, 10, lambda: now[0])
+    c.put("a", 1), c.put("b", 2), c.get("a"), c.put("c", 3)
+    assert (c.get("a"), c.get("b"), c.get("c"), c.hits, c.misses) == (1, None, 3, 3, 1)
+    now[0] = 11
+    assert c.get("a") is None
+
+
+def test_connectors_keep_the_cursor_of_the_service(tmp_path):
+    calls = []
+
+    def fetch(pages):
+        answers = {k: iter(v) for k, v in pages.items()}
+
+        def run(path, params):
+            calls.append((path, params.get("pageToken")))
+            return next(answers[path])
+
+        return run
+
+    file = {"id": "f", "mimeType": "text/plain", "modifiedTime": "2024-01-01T00:00:00Z"}
+    jobs, got = connectors.Jobs(str(tmp_path / "jobs.json"), lambda: clock[0]), []
+    clock = [100.0]
+    first = connectors.Drive({}, fetch({"/changes/startPageToken": [{"startPageToken": "t1"}], "/files": [{"files": [file]}], "/files/f": [{"text": "x"}]}))
+    assert jobs.due("d", 60) and jobs.run("d", first, got.extend) == 1 and not jobs.due("d", 60) and not jobs.due("d")
+    second = connectors.Drive({}, fetch({"/changes": [{"changes": [{"fileId": "g", "removed": True}], "nextPageToken": "p2"}, {"changes": [], "newStartPageToken": "t2"}]}))
+    clock[0] = 160.0
+    assert jobs.due("d", 60)
+    again = connectors.Jobs(str(tmp_path / "jobs.json"), lambda: clock[0])
+    assert again.run("d", second, got.extend) == 1 and [r.action for r in got] == ["upsert", "delete"]
+    assert calls[-2:] == [("/changes", "t1"), ("/changes", "p2")] and again.state["d"]["cursors"] == {"files": "t2"} and again.state["d"]["status"] == "done"
+    with pytest.raises(KeyError):
+        again.run("d", connectors.Drive({}, fetch({})), got.extend)
+    assert connectors.Jobs(str(tmp_path / "jobs.json")).state["d"]["cursors"] == {"files": "t2"} and again.state["d"]["status"] == "failed"
+    state = {}
+    sp = connectors.SharePoint({"drives": "d"}, fetch({"/drives/d/root/delta": [{"value": [], "@odata.nextLink": "/next"}], "/next": [{"value": [], "@odata.deltaLink": "/delta?token=1"}]}))
+    connectors.sync(sp, "d", state, got.extend)
+    connectors.sync(connectors.SharePoint({"drives": "d"}, fetch({"/delta?token=1": [{"value": [{"id": "1", "deleted": {}}], "@odata.deltaLink": "/delta?token=2"}]})), "d", state, got.extend)
+    assert state == {"d": "/delta?token=2"}
+    conf = connectors.Confluence({"base_url": "b"}, pages_fetch({"/api/v2/pages": [{"results": [{"id": 1, "title": "T"}]}]}))
+    assert [r.emitted_at for r in conf.read("pages", None)] == [""] and conf.discover()[0]["stream"] == "pages" and conf.spec()["required"] == ["base_url"]
+    waits = []
+    pace = connectors.Pacer(2, lambda: 5.0, waits.append)
+    pace.wait(), pace.wait(), pace.wait()
+    assert waits == [0.5, 1.0]
+
+
+def test_jdbc_options():
+    assert relational.jdbc_options("jdbc:mysql://h/d", "t")["dbtable"] == "`t`" and relational.jdbc_options("jdbc:postgresql://h/d", "t")["dbtable"] == '"t"'
+    whole = dict(partitionColumn="id", lowerBound="0", upperBound="9", numPartitions="3")
+    assert relational.jdbc_options("jdbc:x:y", "t", **whole)["numPartitions"] == "3"
+    with pytest.raises(ValueError):
+        relational.jdbc_options("jdbc:x:y", "t", partitionColumn="id")
+
+
+def test_addresses(spark):
+    cases = {"8.8.8.8": False, "192.88.99.1": False, "10.1.2.3": True, "256.1.1.1": True, "1.2.3": True, "": True, "2606:4700::1111": False, "::1": True, "::": True, "fe80::1%eth0": True, "fd00::1": True, "ff02::1": True, "::ffff:10.0.0.1": True, "::ffff:8.8.8.8": False, "[2001:db8::1]": False, "x::y": True}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "ip string")
+    assert {r.ip: r.b for r in df.select("ip", network.blocked_address(F.col("ip")).alias("b")).collect()} == {**cases, None: True}
+
+
+def test_changes_that_repeat_or_tie(spark):
+    old = spark.createDataFrame([(1, "old"), (2, "old"), (3, "old")], "id long, v string")
+    new = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (4, "z", 1)], "id long, v string, n int")
+    got = lifecycle.upsert(old, new, order=[F.col("n")]).collect()
+    assert sorted((r.id, r.v) for r in got) == [(1, "y"), (2, "old"), (3, "old"), (4, "z")]
+    assert lifecycle.upsert(old, new.drop("n")).count() == 4
+    rows = [(1, "a", "upsert", 5, 1), (1, "a", "delete", 5, 2), (2, "b", "delete", 5, 1), (2, "b", "upsert", 5, 2)]
+    changes = spark.createDataFrame(rows, "id long, v string, action string, emitted_at long, arrival long")
+    assert sorted((r.id, r.v) for r in lifecycle.apply_changes(old, changes).collect()) == [(2, "b"), (3, "old")]
+    assert sorted((r.id, r.v) for r in lifecycle.apply_changes(old, changes.drop("arrival")).collect()) == [(3, "old")]
