@@ -42,7 +42,7 @@ SIZE = 1024
 OPEN = 32
 SLACK = 8
 MERGE = 64
-BLOCK, SEGMENT = 500_000, 250_000
+BLOCK, SEGMENT = 1_000_000, 250_000
 # The code points of the basic plane that are white space to the tokenizer.
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SEAM = re.compile(r"[A-Za-z0-9](?=[ \n])")
@@ -87,7 +87,7 @@ class BatchTokenizer:
     symbol, and a text in which two words share a hash goes through the library. At most `keep` words
     are remembered with their ids."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
@@ -95,7 +95,7 @@ class BatchTokenizer:
         letters = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
         # The alphabet of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on.
         others = iter(range(256, 512))
-        self.alphabet = {c: c if c in set(letters) else next(others) for c in range(256)}
+        self.alphabet = np.array([c if c in set(letters) else next(others) for c in range(256)], "<u2")
         self.keep = keep
         self._forget()
         self.kind, self.settled = _kinds()
@@ -145,7 +145,10 @@ class BatchTokenizer:
         same = lengths[first][codes] == lengths
         twin = np.minimum(np.repeat(other - starts, lengths) + np.arange(len(data)), len(data) - 1)
         same &= np.logical_and.reduceat(data[twin] == data, starts)
-        at, sizes = self._look_up([text[i : i + n] for i, n in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)])
+        # The text in the alphabet of the model, a letter for each byte, and the bytes before each code point.
+        spelt = self.alphabet[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].tobytes().decode("utf-16-le")
+        begin = np.concatenate(([0], np.cumsum(1 + (data >= 0x80).astype(np.int64) + (data >= 0x800))))
+        at, sizes = self._look_up([spelt[i:j] for i, j in zip(begin[starts[first]].tolist(), begin[starts[first] + lengths[first]].tolist(), strict=True)])
         each = sizes[codes]
         total = np.concatenate(([0], np.cumsum(each)))
         index = np.repeat(at[codes] - total[:-1], each) + np.arange(total[-1])
@@ -157,24 +160,26 @@ class BatchTokenizer:
         return out
 
     def _forget(self) -> None:
-        """Words met so far, and where the ids of each lie in one flat array."""
+        """Words met so far, in the alphabet of the model, and where the ids of each lie in one flat array."""
         self.words: dict[str, int] = {}
         self.at, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) + len(words) > self.keep:
             self._forget()
-        known = self.words
-        fresh = [w for w in words if w not in known]
+        known, encode = self.words, self.slow.model.tokenize
+        place = list(map(known.get, words))
+        fresh = [w for w, n in zip(words, place, strict=True) if n is None]
         if fresh:
-            encode, alphabet = self.slow.model.tokenize, self.alphabet
-            ids = [[t.id for t in encode(w.encode().decode("latin-1").translate(alphabet))] for w in fresh]
+            ids = [[t.id for t in encode(w)] for w in fresh]
+            numbers = iter(range(len(known), len(known) + len(fresh)))
+            place = [next(numbers) if n is None else n for n in place]
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
             self.sizes = np.concatenate((self.sizes, sizes))
             self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
-        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        place = np.array(place, np.int64)
         return self.at[place], self.sizes[place]
 
     def _word_starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
