@@ -26,6 +26,7 @@ from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -35,16 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .arrays import giving_back, hash_runs, slices
+from .arrays import giving_back, mix, slices
 from .storage import saved
 
 SIZE = 1024
 OPEN = 32
 SLACK = 8
 MERGE = 64
-BLOCK, SEGMENT = 1_000_000, 250_000
+BLOCK, SEGMENT = 2_000_000, 250_000
 # The code points of the basic plane that are white space to the tokenizer.
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_ID = attrgetter("id")
 _SEAM = re.compile(r"[A-Za-z0-9](?=[ \n])")
 _SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int"
 
@@ -83,11 +86,11 @@ def segments(text: str, limit: int = SEGMENT) -> Iterator[str]:
 class BatchTokenizer:
     """Ids of many texts at once, equal to those of tokenizers.Tokenizer.encode.
 
-    Texts are split by array operations; equal words are found by hash and then compared symbol by
-    symbol, and a text in which two words share a hash goes through the library. At most `keep` words
-    are remembered with their ids."""
+    Texts are split by array operations; equal words are found by hash and then compared, and a text in
+    which two words share a hash goes through the library. At most `keep` words are remembered with
+    their ids."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
@@ -130,25 +133,45 @@ class BatchTokenizer:
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _hash(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        return hash_runs(data, lengths, 7)
+    def _hash(self, parts: list[np.ndarray]) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(parts[0] + mix(parts[1] + mix(parts[2])))
+
+    def _names(self, spelt: str, octets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Three numbers for each word that equal words share and no others: its first 16 bytes and its length,
+        or, of a longer word, the number of its string among those met in the block, and 17."""
+        lengths = ends - starts
+        wide = np.concatenate((octets, np.zeros(16, np.uint8)))
+        eight = np.lib.stride_tricks.sliding_window_view(wide, 8)
+        low = eight[starts].view("<u8").ravel() & _MASKS[np.minimum(lengths, 8)]
+        high = np.zeros(len(starts), np.uint64)
+        more = np.flatnonzero(lengths > 8)
+        high[more] = eight[starts[more] + 8].view("<u8").ravel() & _MASKS[np.minimum(lengths[more] - 8, 8)]
+        long = np.flatnonzero(lengths > 16)
+        if len(long):
+            seen: dict[str, int] = {}
+            low[long] = [seen.setdefault(spelt[i:j], len(seen)) for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            high[long] = 0
+        return [low, high, np.minimum(lengths, 17).astype(np.uint64)]
 
     def _block(self, text: str, raw: list[np.ndarray]) -> list[np.ndarray]:
         data = np.concatenate(raw)
         bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
         starts = self._word_starts(data, bounds)
-        lengths = np.diff(starts, append=len(data))
-        codes, names = pd.factorize(self._hash(data, lengths))
+        # The text in the alphabet of the model, a letter for each byte, and where the words lie in it.
+        octets = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        spelt = self.alphabet[octets].tobytes().decode("utf-16-le")
+        if len(octets) == len(data):
+            edges = np.append(starts, len(data))
+        else:
+            wide = np.cumsum((data >= 0x80).astype(np.int8) + (data >= 0x800), dtype=np.int64)
+            edges = np.append(starts + np.where(starts > 0, wide[starts - 1], 0), len(octets))
+        parts = self._names(spelt, octets, edges[:-1], edges[1:])
+        codes, names = pd.factorize(self._hash(parts))
         first = np.empty(len(names), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        other = starts[first][codes]  # where the first word of the same hash begins
-        same = lengths[first][codes] == lengths
-        twin = np.minimum(np.repeat(other - starts, lengths) + np.arange(len(data)), len(data) - 1)
-        same &= np.logical_and.reduceat(data[twin] == data, starts)
-        # The text in the alphabet of the model, a letter for each byte, and the bytes before each code point.
-        spelt = self.alphabet[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].tobytes().decode("utf-16-le")
-        begin = np.concatenate(([0], np.cumsum(1 + (data >= 0x80).astype(np.int64) + (data >= 0x800))))
-        at, sizes = self._look_up([spelt[i:j] for i, j in zip(begin[starts[first]].tolist(), begin[starts[first] + lengths[first]].tolist(), strict=True)])
+        same = np.logical_and.reduce([p[first][codes] == p for p in parts])
+        at, sizes = self._look_up([spelt[i:j] for i, j in zip(edges[first].tolist(), edges[first + 1].tolist(), strict=True)])
         each = sizes[codes]
         total = np.concatenate(([0], np.cumsum(each)))
         index = np.repeat(at[codes] - total[:-1], each) + np.arange(total[-1])
@@ -171,14 +194,14 @@ class BatchTokenizer:
         place = list(map(known.get, words))
         fresh = [w for w, n in zip(words, place, strict=True) if n is None]
         if fresh:
-            ids = [[t.id for t in encode(w)] for w in fresh]
+            tokens = list(map(encode, fresh))
             numbers = iter(range(len(known), len(known) + len(fresh)))
             place = [next(numbers) if n is None else n for n in place]
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
             self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
             self.sizes = np.concatenate((self.sizes, sizes))
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
+            self.flat = np.concatenate((self.flat, np.fromiter(map(_ID, chain.from_iterable(tokens)), np.uint32, int(sizes.sum()))))
         place = np.array(place, np.int64)
         return self.at[place], self.sizes[place]
 
