@@ -9,7 +9,8 @@ The windows of a chunk are those that begin in it; the last one reaches into wha
 A filter is byte embedding times weights, so scoring looks up one table of WIDTH x 256 x FILTERS.
 The network is fitted on the driver with Adam on a bounded sample of labelled rows: of the SAMPLE
 smallest hashes of doc_id, those that fit, one after the other, into SAMPLE_BYTES of text. Their texts
-are read whole, as all texts are in scoring. A long text is scored PIECE bytes at a time.
+are read whole, as all texts are in scoring. It takes EPOCHS rounds, more of a small sample, so that there
+are STEPS steps of BATCH rows at least. A long text is scored PIECE bytes at a time.
 
 Defined cases: a null text is empty; an empty text is one chunk of padding and gets a score like
 any other. Labels that are null are ignored; several labels of a document count as the largest, of
@@ -33,7 +34,7 @@ from .storage import Scratch
 
 CHUNK, HOP, SEGMENT = 512, 384, 128
 WIDTH, STEP, FILTERS, DIMENSION = 8, 4, 16, 6
-SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH = 2400, 16 << 20, 12, 48
+SAMPLE, SAMPLE_BYTES, EPOCHS, STEPS, BATCH = 2400, 16 << 20, 12, 600, 48
 PIECE = SEGMENT << 11
 REACH = WIDTH - STEP  # how far the last window of a chunk reaches past it
 THRESHOLD = 0.3
@@ -120,7 +121,7 @@ def score_texts(net: Network, texts: list[str | None], block: int = 1 << 20) ->
     return scores
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Network:
+def fit(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int | None = None) -> Network:
     """Adam on the logistic loss; the gradient runs through the winning windows only."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(rng)
@@ -134,6 +135,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPOCH
     for t in texts:
         whole = np.concatenate((_padded(t), np.zeros(REACH, np.uint8)))
         data.append(np.lib.stride_tricks.sliding_window_view(whole, CHUNK + REACH)[::HOP])
+    epochs = epochs or max(EPOCHS, -(-STEPS // -(-len(data) // BATCH)))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
     for epoch in range(epochs):
