@@ -19,20 +19,19 @@ BLOCKED_V6 = ("::/128", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8")
 SCOPES = {"admin": ("search", "ingest", "delete", "admin"), "writer": ("search", "ingest"), "reader": ("search",)}
 
 
+def is_blocked(ip: str | None) -> bool:
+    """Whether an address is outside the public internet; what is no address is blocked. One mapped into IPv6 counts as what it maps."""
+    try:
+        address = ipaddress.ip_address((ip or "").strip("[]").split("%")[0])
+    except ValueError:
+        return True
+    address = getattr(address, "ipv4_mapped", None) or address
+    return any(address in ipaddress.ip_network(n) for n in (BLOCKED_V4 if address.version == 4 else BLOCKED_V6))
+
+
 @F.pandas_udf(BooleanType())
 def _blocked_v6(ips: pd.Series) -> pd.Series:
-    nets = [ipaddress.ip_network(n) for n in BLOCKED_V6]
-    inner = [ipaddress.ip_network(n) for n in BLOCKED_V4]
-
-    def blocked(ip: str | None) -> bool:
-        try:
-            address = ipaddress.IPv6Address((ip or "").strip("[]").split("%")[0])
-        except ValueError:
-            return True
-        mapped = address.ipv4_mapped
-        return any(mapped in n for n in inner) if mapped else any(address in n for n in nets)
-
-    return ips.map(blocked)
+    return ips.map(is_blocked)
 
 
 def blocked_v4(ip: Column) -> Column:

@@ -12,7 +12,7 @@ from rankweave.functions import network
 from rankweave.functions import text as T
 from rankweave.functions import vectors as V
 from rankweave.operators import ann, chunking, embed, evaluate, fusion, index, lexicon, lifecycle, routing, search, versions
-from rankweave.sources import connectors, html, relational
+from rankweave.sources import connectors, crawl, html, relational
 from rankweave.streaming import ingest
 
 
@@ -489,3 +489,39 @@ def test_changes_that_repeat_or_tie(spark):
     changes = spark.createDataFrame(rows, "id long, v string, action string, emitted_at long, arrival long")
     assert sorted((r.id, r.v) for r in lifecycle.apply_changes(old, changes).collect()) == [(2, "b"), (3, "old")]
     assert sorted((r.id, r.v) for r in lifecycle.apply_changes(old, changes.drop("arrival")).collect()) == [(3, "old")]
+
+
+def test_crawl(spark, tmp_path):
+    def get(url):
+        n = int(url.rsplit("/", 1)[1])
+        if n == 4:
+            return 404, "", b""
+        if n == 5:
+            raise OSError("no route")
+        if n == 6:
+            return 200, "text/plain", b"plain"
+        return 200, "text/html", f"<h1>Page {n}</h1><a href='/{2 * n + 1}#x'>l</a><a href='{2 * n + 2}'>r</a><a href='http://other.org/1'>o</a><a href='http://bad.org/1'>b</a>".encode()
+
+    seeds = spark.createDataFrame([("http://site.org/0",), ("http://site.org/0#top",), ("nonsense",)], "url string")
+    resolve = lambda host: ["10.0.0.1"] if host == "other.org" else ["8.8.8.8"]
+    rows = crawl.crawl(seeds, get, resolve, rounds=4, most=9, blocked=["bad.org"]).collect()
+    got = {r.url.removeprefix("http://site.org/"): r for r in rows}
+    assert len(rows) == 9 and {k: r.round for k, r in got.items()} == {"0": 0, "1": 1, "2": 1, "http://other.org/1": 1, "3": 2, "4": 2, "5": 2, "6": 2, "7": 3}
+    assert got["0"].text.startswith("# Page 0") and got["4"].error == "status 404" and got["5"].error == "no route" and got["6"].text == "plain" and got["http://other.org/1"].error == "blocked address"
+    only = crawl.crawl(seeds, get, resolve, rounds=2, allowed=["site.org"]).collect()
+    assert sorted(r.url for r in only) == ["http://site.org/0", "http://site.org/1", "http://site.org/2"]
+    with pytest.raises(OSError):
+        crawl.addresses("no such host.invalid")
+
+
+def test_plugins_are_found(monkeypatch):
+    class Point:
+        name = "extra"
+
+        def load(self):
+            return connectors.Slack
+
+    monkeypatch.setattr(connectors, "entry_points", lambda group: [Point()] if group == "rankweave.connectors" else [])
+    monkeypatch.setattr(connectors, "REGISTRY", dict(connectors.REGISTRY))
+    connectors.load_plugins()
+    assert connectors.REGISTRY["extra"] is connectors.Slack
