@@ -239,6 +239,14 @@ def bbq_search(spark, d):
     return vector_index_of(spark, d).bbq(query_vector(spark, d), 10)
 
 
+@query(f"""WITH {SQL_Q}, {SQL_HAMMING}, b AS (SELECT hamming, sum(count(*)) OVER (ORDER BY hamming) AS upto FROM h GROUP BY hamming),
+cut AS (SELECT min(hamming) AS most FROM b WHERE upto >= ceil(0.3 * (SELECT count(*) FROM h)))
+SELECT vec_id AS id, hamming::INT AS hamming, {SQL_COS} AS score FROM h, cut WHERE hamming <= most ORDER BY 3 DESC, 1 LIMIT 10""")
+def bbq_share_search(spark, d):
+    """As bbq_search, with a depth that grows with the table."""
+    return vector_index_of(spark, d).bbq_share(query_vector(spark, d), 10)
+
+
 PROBES = 5
 SQL_ROUTE = f"""cen AS (SELECT vec_id AS cid, embedding::DOUBLE[] AS cv FROM embeddings WHERE vec_id % {RATE} = 0),
 dist AS (SELECT vec_id, cid, round(1 - list_cosine_similarity(embedding::DOUBLE[], cv), 6) AS dd FROM embeddings, cen WHERE vec_id % {RATE} <> 0),

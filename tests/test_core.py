@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import time
 
@@ -525,3 +526,17 @@ def test_plugins_are_found(monkeypatch):
     monkeypatch.setattr(connectors, "REGISTRY", dict(connectors.REGISTRY))
     connectors.load_plugins()
     assert connectors.REGISTRY["extra"] is connectors.Slack
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_recall_of_lists_and_codes(spark):
+    """Rows with id divisible by 50 as queries against all rows, the query itself counted."""
+    from rankweave.plans import registry
+
+    d = "/root/testdata/sf0.01"
+    ix, exact = registry.vector_index_of(spark, d), {}
+    for r in registry.batch_knn(spark, d).collect():
+        exact.setdefault(r.query_id, set()).add(r.id)
+    asked = {r.id: list(r.vector) for r in registry.vectors_of(spark, d).where("id % 50 = 0").collect()}
+    for search_one in (lambda v: ix.ivf(v, 10), lambda v: ix.bbq_share(v, 10)):
+        assert np.mean([len(exact[i] & {r.id for r in search_one(v).collect()}) / 10 for i, v in asked.items()]) >= 0.9
