@@ -87,12 +87,14 @@ def _quotas(demand: list[list[int]], room: list[int]) -> list[list[int]]:
     return grant
 
 
-def _wishes(cells: DataFrame, passed: list[float], turn: int, buckets: int) -> DataFrame:
+def _wishes(cells: DataFrame, passed: list[float], turn: int, buckets: int, capacity: int) -> DataFrame:
     """The cells (k1, k2, shard, n) that are not yet on the target of their text, with it and a hash bucket."""
     permille = F.pmod(F.xxhash64("k1", "shard", F.lit(turn)), F.lit(1000))
     is_open = (permille >= _pick([round(1000 * x) for x in passed], F.col("shard"))).cast("int")
     near = Window.partitionBy("k1", "k2").orderBy(is_open.desc(), F.col("n").desc(), F.xxhash64("shard", "k1", F.lit(turn)))
-    aim = cells.select("*", F.first("shard").over(near).alias("target")).where("shard <> target")
+    aim = cells.select("*", F.first("shard").over(near).alias("target"), F.first("n").over(near).alias("there"))
+    # A pile of half a shard or more does not move to a smaller one; small ones do, to be swapped.
+    aim = aim.where((F.col("shard") != F.col("target")) & ((F.col("n") <= F.col("there")) | (2 * F.col("n") < F.lit(capacity)))).drop("there")
     return aim.withColumn("pb", F.pmod(F.xxhash64("k1", "k2", F.lit(turn)), F.lit(buckets)).cast("int"))
 
 
@@ -119,7 +121,7 @@ def propagate(base: DataFrame, capacity: list[int], rounds: int | None, buckets:
         idle = 0 if gathered > best else idle + 1
         best = max(best, gathered)
         room = [c - (found[s]["n"] if s in found else 0) for s, c in enumerate(capacity)]
-        wish = saved(_wishes(cells, passed, turn, buckets), "wishes")
+        wish = saved(_wishes(cells, passed, turn, buckets, min(capacity)), "wishes")
         demand = [[0] * shards for _ in range(shards)]
         for r in wish.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect():
             demand[r["shard"]][r["target"]] = r["n"]
