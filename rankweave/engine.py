@@ -13,6 +13,7 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from threading import Event
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,6 +219,22 @@ class Engine:
         start = max(0, offset)
         return {"total": len(rows), "results": rows[start : start + page] if page > 0 else rows[start:]}
 
+    def search_alias(self, text: str, alias: str, k: int | None = None, filters: Mapping[str, str] | None = None) -> list[dict]:
+        """Alias -> collections as shards, with its filters under the caller's; the best k of each shard are merged by
+        the sum of their rank contributions."""
+        shards, allowed = self.catalog.resolve_alias(alias, filters)
+        scored = self.refresh().candidates(text, self.config.embedder.embed(text), allowed, ["collection_id"])
+        lists = fusion.best(scored.where(F.col("collection_id").isin(shards)), search.clamp_k(k), "collection_id")
+        merged = search.shard_merge(lists.select("id", F.col("position").alias("rank"), "bm25"), search.clamp_k(k))
+        return [r.asDict() for r in merged.collect()]
+
+    def sweep_until(self, stopped: Event, seconds: float = 600.0) -> int:
+        """Sweep now and then every so many seconds, until told to stop; returns how many chunks went."""
+        n = self.sweep()
+        while not stopped.wait(seconds):
+            n += self.sweep()
+        return n
+
     def rag(self, text: str, k: int | None = None, tenant: str | None = None) -> dict:
         """{"context", "citations"}: numbered texts of the best k."""
         found = self.search(text, search.clamp_k(k, 5, None), tenant)["results"]

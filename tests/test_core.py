@@ -2,6 +2,7 @@ import json
 import os
 import random
 import time
+from threading import Event
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from rankweave.functions import network
 from rankweave.functions import text as T
 from rankweave.functions import vectors as V
 from rankweave.operators import ann, chunking, embed, evaluate, fusion, index, lexicon, lifecycle, routing, search, versions
-from rankweave.sources import connectors, crawl, html, relational
+from rankweave.sources import connectors, crawl, html, relational, shared
 from rankweave.streaming import ingest
 
 
@@ -540,3 +541,30 @@ def test_recall_of_lists_and_codes(spark):
     asked = {r.id: list(r.vector) for r in registry.vectors_of(spark, d).where("id % 50 = 0").collect()}
     for search_one in (lambda v: ix.ivf(v, 10), lambda v: ix.bbq_share(v, 10)):
         assert np.mean([len(exact[i] & {r.id for r in search_one(v).collect()}) / 10 for i, v in asked.items()]) >= 0.9
+
+
+def test_alias_search_and_sweeps(spark, tmp_path):
+    e = engine_of(spark, tmp_path)
+    rows = [(f"u{i}", f"needle {i}" if i % 3 == 0 else f"other {i}", {"_ttl": "10s"} if i > 7 else None, 1, "abc"[i % 3 - 1]) for i in range(9)]
+    e.ingest(spark.createDataFrame(rows, "url string, content string, metadata map<string,string>, crawled_at long, collection_id string"), "t")
+    e.catalog.set_alias("two", ["a", "c"], {"tenant": "t"})
+    found = e.search_alias("needle", "two", 4)
+    index = {r["id"]: r["collection_id"] for r in e.refresh().table("cards").collect()}
+    assert len(found) == 4 and {index[r["id"]] for r in found} == {"a", "c"} and max(r["bm25"] for r in found) > 0
+    assert e.search_alias("needle", "two", 4, {"tenant": "none"}) == []
+    e.clock, stopped = (lambda: 2000), Event()
+    stopped.set()
+    assert e.sweep_until(stopped, 0.01) == 1 and e.stats()["chunks"] == 8
+
+
+def test_object_store(spark, tmp_path):
+    store = shared.ObjectStore(spark, f"file://{tmp_path}/objects", cache_bytes=5)
+    store.put("a/one", b"123"), store.put("b", b"\x00\xff45"), store.put("big", b"x" * 9)
+    assert list(store.cache) == ["b"] and store.get("a/one") == b"123" and store.get("big") == b"x" * 9 and list(store.cache) == ["a/one"]
+    assert store.list() == ["a/one", "b", "big"] and store.list("a/") == ["a/one"] and store.get("b") == b"\x00\xff45"
+    store.delete("b")
+    with pytest.raises(FileNotFoundError):
+        store.get("b")
+    for bad in ("", "/x", "../x"):
+        with pytest.raises(ValueError):
+            store.get(bad)
